@@ -28,6 +28,10 @@ class Fields(Protocol):
 
     def value(self, path: str) -> Column: ...
 
+    def present(self, path: str) -> Column: ...
+
+    def is_object(self, path: str) -> Column: ...
+
     def kind(self, path: str) -> Column: ...
 
     def text(self, path: str) -> Column: ...
@@ -99,7 +103,7 @@ class Field(Step):
 
     def error(self, fields: Fields) -> Column:
         chain = [check(fields) for check in self.checks]
-        present = jsonx.is_present(fields.kind(self.path))
+        present = fields.present(self.path)
         if self.needed:
             missing = _error(f"missing required field `{self.path}`")
             return _first([F.when(~present, missing), *chain])
@@ -134,7 +138,7 @@ class Field(Step):
         return self._typed("Boolean", lambda f: f.kind(self.path) == "BOOLEAN")
 
     def object(self) -> Field:
-        return self._typed("Object", lambda f: jsonx.is_object(f.kind(self.path)))
+        return self._typed("Object", lambda f: f.is_object(self.path))
 
     def array(self) -> Field:
         return self._typed("Array", lambda f: jsonx.is_array(f.kind(self.path)))
@@ -248,7 +252,7 @@ class Field(Step):
         """JSON equality; text honours ``ignore_case``; a missing field equals nothing."""
         path = self.path
         if expected is None:
-            return self._cond(lambda f: f.kind(path) == "VOID")
+            return self._cond(lambda f: F.is_variant_null(f.value(path)))
         if isinstance(expected, str):
             if self.folds_case:
                 return self._cond(lambda f: jsonx.ascii_lower(f.text(path)) == _fold(expected))
@@ -292,7 +296,7 @@ def _fold(text: str) -> str:
 
 def filled(fields: Fields, path: str) -> Column:
     blank = F.coalesce(fields.text(path) == "", F.lit(False))
-    return jsonx.is_present(fields.kind(path)) & ~blank
+    return fields.present(path) & ~blank
 
 
 @dataclass(frozen=True)
@@ -388,7 +392,7 @@ class Event:
     @staticmethod
     def contains(key: str) -> Cond:
         """Whether the event has the key at all, JSON null included."""
-        return Cond(lambda f: f.kind(key).isNotNull(), frozenset([key]))
+        return Cond(lambda f: f.value(key).isNotNull(), frozenset([key]))
 
 
 def first_error(steps: Iterable[Step], fields: Fields) -> Column:

@@ -9,21 +9,52 @@ from pyspark.sql import functions as F
 
 from eventrail.functions import jsonx
 from eventrail.functions.checks import Step, all_paths, first_error
-from eventrail.functions.paths import field_path
+from eventrail.functions.fence import compute_once
 
 _PREFIX = "__f"
 
 
 class Extracted:
-    """Columns of one event version, named after the version and the path's index."""
+    """Columns of one event version.
+
+    The members needed of one object are taken in a single pass, as a struct of VARIANTs;
+    the struct is NULL exactly when the value is no object. Nested objects follow level
+    by level. Kinds and texts are read from each member once.
+    """
 
     def __init__(self, event: str, tag: str, paths: Iterable[str]):
         self.event = event
-        self._names = {path: f"{_PREFIX}{tag}_{i}" for i, path in enumerate(sorted(paths))}
+        self.paths = frozenset(paths)
+        self._tag = f"{_PREFIX}{tag}"
+        self._members: dict[str, list[str]] = {"": []}
+        for path in sorted(self.paths):
+            self._add(path)
+        every = sorted({p for p in self._members if p} | {m for m in self._all()})
+        self._names = {path: f"{self._tag}_{i}" for i, path in enumerate(every)}
+        self._names[""] = f"{self._tag}_event"
+
+    def _add(self, path: str) -> None:
+        parent, _, _ = path.rpartition(".")
+        nested = "." in path
+        if nested and parent not in self._members:
+            self._members[parent] = []
+            self._add(parent)
+        siblings = self._members[parent if nested else ""]
+        if path not in siblings:
+            siblings.append(path)
+
+    def _all(self) -> Iterable[str]:
+        for members in self._members.values():
+            yield from members
 
     def value(self, path: str) -> Column:
         return F.col(self._names[path])
 
+    def present(self, path: str) -> Column:
+        """Neither missing nor JSON null; never NULL itself."""
+        value = self.value(path)
+        return value.isNotNull() & ~F.is_variant_null(value)
+
     def kind(self, path: str) -> Column:
         return F.col(self._names[path] + "k")
 
@@ -35,26 +66,61 @@ class Extracted:
             jsonx.is_number(self.kind(path)), F.try_variant_get(self.value(path), "$", "double")
         )
 
+    def is_object(self, path: str = "") -> Column:
+        """Whether the value (the event itself for the empty path) is an object."""
+        if path in self._members:
+            return F.col(self._names[path] + "o").isNotNull()
+        return F.coalesce(jsonx.is_object(self.kind(path)), F.lit(False))
+
+    def _levels(self) -> list[list[str]]:
+        """Object paths by depth, the event first."""
+        depth = {path: path.count(".") + 1 if path else 0 for path in self._members}
+        return [
+            [path for path in self._members if depth[path] == level]
+            for level in range(max(depth.values()) + 1)
+        ]
+
     def attach(self, df: DataFrame) -> DataFrame:
-        """Two projections: values first, then what is read from each value."""
-        event = F.col(self.event)
-        values = {name: jsonx.get(event, field_path(p)) for p, name in self._names.items()}
-        df = df.withColumns(values) if values else df
-        reads = {}
-        for name in self._names.values():
-            value = F.col(name)
-            reads[name + "k"] = jsonx.kind(value)
-        df = df.withColumns(reads) if reads else df
-        texts = {
-            name + "s": F.when(
-                F.col(name + "k") == "STRING", F.try_variant_get(F.col(name), "$", "string")
-            )
-            for name in self._names.values()
-        }
-        return df.withColumns(texts) if texts else df
+        for objects in self._levels():
+            structs = {}
+            for path in objects:
+                source = F.col(self.event) if path == "" else self.value(path)
+                keys = [_key(path, member) for member in self._members[path]]
+                structs[self._names[path] + "o"] = F.try_variant_get(source, "$", _shape(keys))
+            df = df.withColumns(structs)
+            values = {}
+            for path in objects:
+                packed = F.col(self._names[path] + "o")
+                for member in self._members[path]:
+                    values[self._names[member]] = packed.getField(_key(path, member))
+            df = df.withColumns(values) if values else df
+        names = [self._names[path] for path in sorted(self.paths)]
+        if not names:
+            return df
+        df = df.withColumns({name + "k": jsonx.kind(F.col(name)) for name in names})
+        return df.withColumns(
+            {
+                name + "s": F.when(
+                    F.col(name + "k") == "STRING", F.try_variant_get(F.col(name), "$", "string")
+                )
+                for name in names
+            }
+        )
 
     def columns(self) -> list[str]:
-        return [name + suffix for name in self._names.values() for suffix in ("", "k", "s")]
+        return [n + suffix for n in self._names.values() for suffix in ("", "k", "s", "o")]
+
+
+def _key(parent: str, path: str) -> str:
+    return path[len(parent) + 1 :] if parent else path
+
+
+def _shape(keys: list[str]) -> str:
+    folded = [key.lower() for key in keys]
+    if len(set(folded)) < len(folded):
+        raise ValueError(f"keys of one object differ only in case: {sorted(keys)}")
+    members = ", ".join("`" + key.replace("`", "``") + "`: variant" for key in keys)
+    return f"struct<{members}>"
 
 
 def with_error(
@@ -64,11 +130,11 @@ def with_error(
     steps = list(steps)
     fields = Extracted(event, out, all_paths(steps))
     checked = fields.attach(df).withColumn(out, first_error(steps, fields))
-    return checked.drop(*fields.columns())
+    return compute_once(checked.drop(*fields.columns()), out)
 
 
 def with_conditions(df: DataFrame, conditions: dict, event: str = "event") -> DataFrame:
     """Add boolean columns, one per named condition."""
     fields = Extracted(event, "c", frozenset().union(*[c.paths for c in conditions.values()]))
     read = {name: condition.compile(fields) for name, condition in conditions.items()}
-    return fields.attach(df).withColumns(read).drop(*fields.columns())
+    return compute_once(fields.attach(df).withColumns(read).drop(*fields.columns()), *read)

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventrail.functions.paths import field_path
-
 I64_MAX = 2**63 - 1
 U64_MAX = 2**64 - 1
 
-_HUGE_NUMBER = r"[eE]\+?0*[1-9][0-9]{2}|[0-9]{309}"
+_EXPONENT = r"[0-9][eE]"
+_HUGE_INTEGER = r"[0-9]{309}"
 _LONE_SURROGATE = (
     r"(?<!\\)(?:\\\\)*+(?:"
     r"\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F][0-9a-fA-F]{2})"
@@ -58,11 +57,6 @@ def is_array(kind_name: Column) -> Column:
     return kind_name.startswith("ARRAY<")
 
 
-def is_present(kind_name: Column) -> Column:
-    """Neither missing nor JSON null; never NULL itself."""
-    return F.coalesce(kind_name != "VOID", F.lit(False))
-
-
 def type_name(kind_name: Column) -> Column:
     """The JSON type word used in projection errors."""
     return (
@@ -78,33 +72,26 @@ def type_name(kind_name: Column) -> Column:
 def parse_strict(df: DataFrame, body: str, out: str = "event") -> DataFrame:
     """Add ``out``: the body as VARIANT, NULL unless the whole text is one JSON value.
 
-    Spark's parser stops after the first value. The body is therefore parsed once
-    as the first element of an array whose last element is a tag hashed from the
-    body: text after the value either breaks the array or moves the tag.
+    Spark's parser stops after the first value. The text is therefore also scanned as the
+    first element of an array that ends in a tag hashed from the text: anything after the
+    value breaks the array or moves the tag.
     """
     text = F.col(body).cast("string")
-    tag = F.hex(F.xxhash64(F.col(body).cast("binary")))
-    wrapped, tagged = f"__{out}_wrapped", f"__{out}_tag"
-    staged = df.withColumn(tagged, tag).withColumn(
-        wrapped,
-        F.when(
-            F.is_valid_utf8(text),
-            F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), F.col(tagged), F.lit('"]'))),
-        ),
+    tag, parsed = f"__{out}_tag", f"__{out}_parsed"
+    staged = df.withColumn(tag, F.hex(F.xxhash64(F.col(body).cast("binary"))))
+    boxed = F.concat(F.lit("["), text, F.lit(',"'), F.col(tag), F.lit('"]'))
+    whole = F.is_valid_utf8(text) & (F.get_json_object(boxed, "$[1]") == F.col(tag))
+    staged = staged.withColumn(parsed, F.when(whole, F.try_parse_json(text)))
+    may_overflow = text.rlike(_EXPONENT) | (
+        (F.octet_length(text) >= 309) & text.rlike(_HUGE_INTEGER)
     )
-    boxed = F.col(wrapped)
-    whole = (F.try_variant_get(boxed, "$[1]", "string") == F.col(tagged)) & get(
-        boxed, "$[2]"
-    ).isNull()
     infinite = (
-        text.rlike(_HUGE_NUMBER)
-        & F.to_json(boxed).contains("Infinity")
+        may_overflow
+        & F.to_json(F.col(parsed)).contains("Infinity")
         & ~text.contains("Infinity")
     )
     surrogate = (F.instr(text, "\\u") > 0) & text.rlike(_LONE_SURROGATE)
-    return staged.withColumn(
-        out, F.when(whole & ~infinite & ~surrogate, get(boxed, "$[0]"))
-    ).drop(wrapped, tagged)
+    return staged.withColumn(out, F.when(~infinite & ~surrogate, F.col(parsed))).drop(tag, parsed)
 
 
 def compact_text(text: Column) -> Column:
@@ -126,26 +113,6 @@ def without_key(value: Column, key: str) -> Column:
     return F.to_variant_object(F.map_filter(members(value), lambda k, _: k != key))
 
 
-def with_key(value: Column, key: str, new: Column) -> Column:
-    kept = F.map_filter(members(value), lambda k, _: k != key)
-    return F.to_variant_object(F.map_concat(kept, F.create_map(F.lit(key), new)))
-
-
-def set_path(value: Column, path: str, new: Column) -> Column:
-    """Set a nested member, creating missing or null containers.
-
-    NULL when the value or a container on the way is not an object.
-    """
-    head, _, rest = path.partition(".")
-    if not rest:
-        return with_key(value, head, new)
-    inner = get(value, field_path(head))
-    empty = F.parse_json(F.lit("{}"))
-    container = F.when(inner.isNull() | F.is_variant_null(inner), empty).otherwise(inner)
-    nested = set_path(container, rest, new)
-    return F.when(nested.isNotNull(), with_key(value, head, nested))
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other letters never fold."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

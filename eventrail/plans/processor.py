@@ -8,14 +8,15 @@ A processor checks, rewrites and emits one event. Its statements run in order:
   stays, an uncaught error discards the whole record,
 * ``Try`` catches the first error of its body and runs its handler.
 
-Nothing here touches rows: statements become guarded expressions over versions of
-the event column, and every needed field is extracted once per version.
+Nothing here touches rows: statements become guarded columns, every needed field is
+extracted once, and a rewritten event is put together once, where it is emitted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,6 +102,10 @@ class Request:
     def header(name: str) -> Value:
         return HeaderValue(name)
 
+    @staticmethod
+    def has_ip() -> Cond:
+        return Cond(lambda _: F.col("remote_addr").isNotNull(), frozenset())
+
 
 @dataclass(frozen=True)
 class EpochMs(Value):
@@ -157,7 +162,7 @@ class Set:
     value: Value | FieldValue
 
     def paths(self) -> frozenset[str]:
-        return self.value.paths()
+        return self.value.paths() | {self.path}
 
 
 @dataclass(frozen=True)
@@ -222,30 +227,143 @@ class _Scope:
     error: str | None = None
 
 
+class _Overlaid:
+    """Fields of an event under pending rewrites, without rebuilding the event."""
+
+    def __init__(self, base: Extracted, rewrites: Mapping[str, str]):
+        self._base = base
+        self._rewrites = rewrites
+
+    def _either(self, path: str, new: Callable[[Column], Column], old: Column) -> Column:
+        if path not in self._rewrites:
+            return old
+        value = F.col(self._rewrites[path])
+        return F.when(value.isNotNull(), new(value)).otherwise(old)
+
+    def value(self, path: str) -> Column:
+        return self._either(path, lambda v: v, self._base.value(path))
+
+    def present(self, path: str) -> Column:
+        return self._either(path, lambda v: ~F.is_variant_null(v), self._base.present(path))
+
+    def kind(self, path: str) -> Column:
+        return self._either(path, jsonx.kind, self._base.kind(path))
+
+    def text(self, path: str) -> Column:
+        def new(value: Column) -> Column:
+            is_text = jsonx.kind(value) == "STRING"
+            return F.when(is_text, F.try_variant_get(value, "$", "string"))
+
+        return self._either(path, new, self._base.text(path))
+
+    def number(self, path: str) -> Column:
+        def new(value: Column) -> Column:
+            is_number = jsonx.is_number(jsonx.kind(value))
+            return F.when(is_number, F.try_variant_get(value, "$", "double"))
+
+        return self._either(path, new, self._base.number(path))
+
+    def is_object(self, path: str = "") -> Column:
+        old = self._base.is_object(path)
+        return self._either(path, lambda v: jsonx.is_object(jsonx.kind(v)), old)
+
+
+def _clashes(path: str, other: str) -> bool:
+    return path.startswith(other + ".") or other.startswith(path + ".")
+
+
 @dataclass
 class _Compiler:
+    """State while the statements of one processor become columns.
+
+    Rewrites are kept as one column per path, NULL where not applied. The event is
+    rebuilt from them only when it is emitted or read at a path above or below one.
+    """
+
     df: DataFrame
     tag: str
     event: str
-    text: Column
+    body: str
     base: Extracted
     hidden: list[str] = field(default_factory=list)
     emits: list[tuple[Column | None, str, Column]] = field(default_factory=list)
-    version: int = 0
-    extracted: list[Extracted] = field(default_factory=list)
+    rewrites: dict[str, str] = field(default_factory=dict)
+    rewritten: str | None = None
+    text: str | None = None
 
     def _name(self, what: str) -> str:
         name = f"__{self.tag}_{what}{len(self.hidden)}"
         self.hidden.append(name)
         return name
 
-    def _fields(self, paths: frozenset[str]) -> Extracted:
-        if self.version == 0:
-            return self.base
-        fields = Extracted(self.event, f"{self.tag}v{self.version}n{len(self.hidden)}", paths)
-        self.df = fields.attach(self.df)
-        self.hidden += fields.columns()
-        return fields
+    def _add(self, what: str, column: Column) -> str:
+        name = self._name(what)
+        self.df = self.df.withColumn(name, column)
+        return name
+
+    def _fields(self, paths: frozenset[str]) -> _Overlaid:
+        if any(_clashes(path, done) for path in paths for done in self.rewrites):
+            self._rebuild()
+        return _Overlaid(self.base, self.rewrites)
+
+    def _applied(self, names: Iterable[str]) -> Column:
+        return reduce(lambda a, b: a | b, [F.col(name).isNotNull() for name in names])
+
+    def _current(self) -> Column:
+        """The event with all pending rewrites."""
+        if not self.rewrites:
+            return F.col(self.event)
+        tree: dict = {}
+        for path, name in self.rewrites.items():
+            node = tree
+            *above, last = path.split(".")
+            for part in above:
+                node = node.setdefault(part, {})
+            node[last] = name
+        whole = self._merged(F.col(self.event), tree, "")
+        return F.when(self._applied(self.rewrites.values()), whole).otherwise(F.col(self.event))
+
+    def _merged(self, value: Column, tree: dict, prefix: str) -> Column:
+        none = F.create_map().cast("map<string,variant>")
+        kept = F.map_filter(jsonx.members(value), lambda k, _: ~k.isin(list(tree)))
+        pairs: list[Column] = []
+        for key, node in tree.items():
+            path = prefix + key
+            old = self.base.value(path)
+            if isinstance(node, str):
+                new = F.coalesce(F.col(node), old)
+            else:
+                below = [n for p, n in self.rewrites.items() if p.startswith(path + ".")]
+                inner = self._merged(old, node, path + ".")
+                new = F.when(self._applied(below), inner).otherwise(old)
+            pairs += [F.lit(key), new]
+        added = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+        return F.to_variant_object(F.map_concat(F.coalesce(kept, none), added))
+
+    def _rebuild(self) -> None:
+        """Fold the pending rewrites into a new event column and extract from that."""
+        applied = self._applied(self.rewrites.values())
+        if self.rewritten is not None:
+            applied = applied | F.col(self.rewritten)
+        self.rewritten = self._add("w", applied)
+        self.event = self._add("v", self._current())
+        self.base = Extracted(self.event, f"{self.tag}n{len(self.hidden)}", self.base.paths)
+        self.df = self.base.attach(self.df)
+        self.hidden += self.base.columns()
+        self.rewrites = {}
+
+    def _text(self) -> Column:
+        """Text of the current event: the body itself as long as nothing was rewritten."""
+        if self.text is None:
+            changed = [F.col(name).isNotNull() for name in self.rewrites.values()]
+            if self.rewritten is not None:
+                changed.append(F.col(self.rewritten))
+            if not changed:
+                return F.col(self.body)
+            any_change = reduce(lambda a, b: a | b, changed)
+            printed = F.to_json(self._current())
+            self.text = self._add("t", F.when(any_change, printed).otherwise(F.col(self.body)))
+        return F.col(self.text)
 
     @staticmethod
     def _alive(guard: Column | None, scope: _Scope) -> Column | None:
@@ -258,9 +376,7 @@ class _Compiler:
         guarded = error if guard is None else F.when(guard, error)
         if scope.error is not None:
             guarded = F.coalesce(F.col(scope.error), guarded)
-        name = self._name("e")
-        self.df = self.df.withColumn(name, guarded)
-        scope.error = name
+        scope.error = self._add("e", guarded)
 
     def run(self, statements, guard: Column | None, scope: _Scope, caught: Column | None) -> None:
         checks: list[Step] = []
@@ -272,7 +388,7 @@ class _Compiler:
             checks = []
             if isinstance(statement, Emit):
                 if statement.target.strip():
-                    self.emits.append((self._alive(guard, scope), statement.target, self.text))
+                    self.emits.append((self._alive(guard, scope), statement.target, self._text()))
             elif isinstance(statement, Set):
                 self._set(statement, guard, scope, caught)
             elif isinstance(statement, If):
@@ -292,38 +408,40 @@ class _Compiler:
         if not checks:
             return
         fields = self._fields(all_paths(checks))
-        not_object = F.when(
-            ~F.coalesce(jsonx.is_object(jsonx.kind(F.col(self.event))), F.lit(False)),
-            F.lit(NOT_AN_OBJECT),
-        )
+        not_object = F.when(~fields.is_object(), F.lit(NOT_AN_OBJECT))
         self._raise(scope, guard, F.coalesce(not_object, first_error(checks, fields)))
 
     def _set(self, statement: Set, guard, scope: _Scope, caught) -> None:
-        fields = self._fields(statement.paths())
+        path = statement.path
+        fields = self._fields(statement.value.paths() | {path})
+        self._raise(scope, guard, self._refusal(statement, fields))
         null = F.parse_json(F.lit("null"))
         new = F.coalesce(_compile_value(statement.value, fields, caught), null)
-        changed = self._name("c")
         alive = self._alive(guard, scope)
-        rewritten = jsonx.set_path(F.col(self.event), statement.path, new)
-        self.df = self.df.withColumn(
-            changed, rewritten if alive is None else F.when(alive, rewritten)
-        )
-        refused = F.lit(f"cannot set field `{statement.path}` on a value that is no object")
-        self._raise(scope, guard, F.when(F.col(changed).isNull(), refused))
-        event, text = self._name("v"), self._name("t")
-        before, before_text = F.col(self.event), self.text
-        self.df = self.df.withColumn(event, F.coalesce(F.col(changed), before))
-        self.df = self.df.withColumn(
-            text, F.when(F.col(changed).isNull(), before_text).otherwise(F.to_json(F.col(event)))
-        )
-        self.event, self.text = event, F.col(text)
-        self.version += 1
+        column = new if alive is None else F.when(alive, new)
+        if path in self.rewrites:
+            column = F.coalesce(column, F.col(self.rewrites[path]))
+        self.rewrites = {**self.rewrites, path: self._add("s", column)}
+        self.text = None
+
+    def _refusal(self, statement: Set, fields: _Overlaid) -> Column:
+        """Error of a rewrite: a container that is no object, a value without the type."""
+        fits = self.base.is_object()
+        above = statement.path.split(".")[:-1]
+        for depth in range(1, len(above) + 1):
+            container = ".".join(above[:depth])
+            fits = fits & (self.base.is_object(container) | ~self.base.present(container))
+        text = f"cannot set field `{statement.path}` on a value that is no object"
+        error = F.when(~fits, F.lit(text))
+        if isinstance(statement.value, FieldValue) and statement.value.change is not None:
+            source = statement.value.path
+            no_text = fields.text(source).isNull()
+            error = F.coalesce(error, F.when(no_text, F.lit(f"field `{source}` is not a string")))
+        return error
 
     def _branch(self, statement: If, guard, scope: _Scope, caught) -> None:
         fields = self._fields(statement.condition.paths)
-        name = self._name("b")
-        self.df = self.df.withColumn(name, statement.condition.compile(fields))
-        taken = F.col(name)
+        taken = F.col(self._add("b", statement.condition.compile(fields)))
         outer = self._alive(guard, scope)
         self.run(statement.then, taken if outer is None else outer & taken, scope, caught)
         if statement.otherwise:
@@ -345,7 +463,6 @@ def process(
     each emit that did not happen; the position keeps the emit order.
     """
     everything = frozenset().union(*[all_paths(p.statements) for p in processors.values()])
-    everything |= frozenset().union(*[_condition_paths(p.statements) for p in processors.values()])
     base = Extracted(event, "base", everything)
     df = base.attach(df)
     hidden = base.columns()
@@ -353,7 +470,7 @@ def process(
     error = F.lit(None).cast("string")
     for index, (key, item) in enumerate(processors.items()):
         guard = None if len(processors) == 1 else F.col(script) == key
-        compiler = _Compiler(df, f"p{index}", event, F.col(text), base)
+        compiler = _Compiler(df, f"p{index}", event, text, base)
         scope = _Scope()
         compiler.run(item.statements, guard, scope, None)
         df = compiler.df
@@ -368,17 +485,6 @@ def process(
     return df.withColumns({"deliveries": deliveries, "processor_error": error}).drop(*hidden)
 
 
-def _condition_paths(statements) -> frozenset[str]:
-    found: set[str] = set()
-    for statement in statements:
-        if isinstance(statement, If):
-            found |= statement.condition.paths
-            found |= _condition_paths((*statement.then, *statement.otherwise))
-        elif isinstance(statement, Try):
-            found |= _condition_paths((*statement.body, *statement.catch))
-    return frozenset(found)
-
-
 def _delivery(condition: Column | None, target: str, text: Column) -> Column:
     entry = F.struct(F.lit(target).alias("target"), text.alias("event_json"))
     return entry if condition is None else F.when(condition, entry)

@@ -87,18 +87,13 @@ def default_processor(good: str = "events", bad: str = "events_error") -> Proces
     )
 
 
-def _ensure_context():
-    """Create the context container when it is missing or null."""
-    absent = ~Event.contains("xcontext") | Event.field("xcontext").eq(None)
-    return when(absent, Set("xcontext", ObjectValue({})))
-
-
 def loadtest_processor(target: str = "loadtest_events") -> Processor:
     """Everything to one sink, invalid events marked with the code of their error."""
+    # Setting a nested field creates a missing context.
     mark = Set(_context("loadtest_validation_code"), ErrorCode())
     return processor(
         "loadtest",
-        attempt(*default_checks(), catch=[_ensure_context(), mark]),
+        attempt(*default_checks(), catch=[mark]),
         Emit(target),
     )
 
@@ -130,11 +125,10 @@ def enrichment_processor(good: str = "events", bad: str = "events_error") -> Pro
                 present["currencytype"],
                 Set(_context("currencytype"), context["currencytype"].value().upper()),
             ),
-            when(~present["ip"], Set(_context("ip"), Request.ip())),
+            when(~present["ip"] & Request.has_ip(), Set(_context("ip"), Request.ip())),
             Set(_context("process_info"), ObjectValue(info)),
             Emit(good),
             catch=[
-                _ensure_context(),
                 Set(_context("process_info"), ObjectValue(failure)),
                 Emit(bad),
             ],

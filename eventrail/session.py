@@ -7,11 +7,13 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# JSON objects keep the last of duplicate keys, local times have no DST gaps.
+# JSON objects keep the last of duplicate keys; local times have no DST gaps; generated
+# methods above HotSpot's compile limit would be interpreted, so they are split instead.
 _SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
