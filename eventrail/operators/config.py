@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventrail.functions import jsonx, names
+from eventrail.operators.lookups import lookup_join
 
 DEFAULT_SCRIPT = "default"
 
@@ -87,6 +88,18 @@ def dangling_sinks(sinks: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def match_targets(deliveries: DataFrame, runtime: DataFrame) -> DataFrame:
+    """Deliveries with the ``code`` of an undeliverable target, for sink tables of any size."""
+    known = runtime.select("sink_id", F.lit(True).alias("__known")).distinct()
+    matched = lookup_join(
+        deliveries, known, ["sink_id"], "left", spread=[F.col("node_id"), F.col("lsn")]
+    )
+    code = F.when(jsonx.strip(F.col("sink_id")) == "", "replay_empty_sink_target").when(
+        F.col("__known").isNull(), "replay_unknown_sink_target"
+    )
+    return matched.withColumn("code", code).drop("__known")
+
+
 def sink_constants(sinks: DataFrame) -> DataFrame:
     """Constant per enabled sink, and whether it is empty or shared with another sink."""
     named = enabled(sinks).select("sink_id", names.sink_constant(F.col("sink_id")).alias("constant"))

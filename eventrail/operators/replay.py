@@ -41,8 +41,9 @@ def plan(
     processors: Mapping[str, Processor | Callable],
     sinks: Iterable[str],
 ) -> DataFrame:
-    """Every record with ``code``, ``message``, ``bad_target`` and its ``deliveries``.
+    """Every record with ``code``, ``message``, ``bad_target``, ``xwhat`` and ``deliveries``.
 
+    ``code`` is NULL for a record in good standing; ``xwhat`` is read for the others only.
     ``project_scripts`` holds ``project_id, script_key`` of the enabled projects.
     A record with one undeliverable target is quarantined as a whole.
     """
@@ -104,10 +105,14 @@ def _verdict(processed: DataFrame, sinks: Iterable[str], scripts: list[str]) ->
             F.concat(F.lit("processor emitted unknown sink target `"), "bad_target", F.lit("`")),
         )
     )
-    judged = processed.withColumns({"code": code, "message": message}).drop(
-        "__known", "processor_error"
+    name = jsonx.get(F.col("event"), '$["xwhat"]')
+    is_text = F.col("code").isNotNull() & (jsonx.kind(name) == "STRING")
+    judged = (
+        processed.withColumns({"code": code, "message": message})
+        .withColumn("xwhat", F.when(is_text, F.try_variant_get(name, "$", "string")))
+        .drop("__known", "processor_error", "event")
     )
-    return compute_once(judged, "code", "message", "bad_target", "deliveries")
+    return compute_once(judged, "code", "message", "bad_target", "xwhat", "deliveries")
 
 
 def deliveries(planned: DataFrame) -> DataFrame:
@@ -125,7 +130,6 @@ def deliveries(planned: DataFrame) -> DataFrame:
 
 def quarantine(planned: DataFrame) -> DataFrame:
     """Undeliverable records with their reason and the raw body."""
-    name = jsonx.get(F.col("event"), '$["xwhat"]')
     unknown_or_empty = F.col("code") == "replay_unknown_sink_target"
     return planned.filter(F.col("code").isNotNull()).select(
         F.lit(QUARANTINE_SCHEMA).alias("schema"),
@@ -138,7 +142,7 @@ def quarantine(planned: DataFrame) -> DataFrame:
         "method",
         "path",
         "query",
-        F.when(jsonx.kind(name) == "STRING", F.try_variant_get(name, "$", "string")).alias("xwhat"),
+        "xwhat",
         F.when(unknown_or_empty, F.col("bad_target")).alias("target"),
         "message",
         F.concat_ws(": ", "code", "message").alias("error"),

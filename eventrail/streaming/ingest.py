@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from eventrail.operators import admit
 from eventrail.operators.log import append_log
 from eventrail.operators.metrics import rates
-from eventrail.sinks.writers import write_table
+from eventrail.sinks.writers import batch_label, write_table
 
 
 def ingest_batch(
@@ -27,7 +27,7 @@ def ingest_batch(
     try:
         append_log(admit.admitted(checked), log_path, batch_id)
         if rejections_root is not None:
-            write_table(admit.rejections(checked), rejections_root, batch_id)
+            write_table(admit.rejections(checked), rejections_root, batch_label(batch_id))
     finally:
         checked.unpersist()
 
