@@ -13,7 +13,7 @@ _CURRENCY_LIST = ", ".join(CURRENCIES)
 
 _EVENTS = r"""
 ev AS (
-  SELECT event_id AS e, user_id AS u, value, event_type, epoch_ms(ts) AS ms,
+  SELECT event_id AS e, user_id AS u, value, event_type, epoch_us(ts) // 1000 AS ms,
     CAST(regexp_extract(props, '(\d+)', 1) AS INTEGER) AS k,
     CASE event_type WHEN 'signup' THEN 'register' WHEN 'purchase' THEN 'payment'
       WHEN 'view' THEN 'startup' WHEN 'click' THEN 'levelup' ELSE 'custom_event' END AS xwhat,
