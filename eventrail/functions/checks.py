@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
 from functools import reduce
 from typing import Protocol
 
@@ -47,8 +48,7 @@ def number_text(threshold: float) -> str:
     value = float(threshold)
     if value.is_integer():
         return str(int(value))
-    text = repr(value)
-    return format(value, "f") if "e" in text else text
+    return format(Decimal(repr(value)), "f")
 
 
 def _error(text: str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventrail.functions import jsonx
 from eventrail.functions.checks import Step, all_paths, first_error
 from eventrail.functions.fence import compute_once
+from eventrail.functions.paths import field_path
 
 _PREFIX = "__f"
 
@@ -25,35 +26,33 @@ class Extracted:
     def __init__(self, event: str, tag: str, paths: Iterable[str]):
         self.event = event
         self.paths = frozenset(paths)
-        self._tag = f"{_PREFIX}{tag}"
-        self._members: dict[str, list[str]] = {"": []}
+        tag = f"{_PREFIX}{tag}"
+        # Member paths by object path; the event itself is the object ``None``.
+        self._members: dict[str | None, list[str]] = {None: []}
         for path in sorted(self.paths):
             self._add(path)
-        every = sorted({p for p in self._members if p} | {m for m in self._all()})
-        self._names = {path: f"{self._tag}_{i}" for i, path in enumerate(every)}
-        self._names[""] = f"{self._tag}_event"
+        every = sorted(member for members in self._members.values() for member in members)
+        self._names: dict[str | None, str] = {p: f"{tag}_{i}" for i, p in enumerate(every)}
+        self._names[None] = f"{tag}_event"
+        self._present: dict[str, Column] = {}
 
     def _add(self, path: str) -> None:
-        parent, _, _ = path.rpartition(".")
-        nested = "." in path
-        if nested and parent not in self._members:
+        parent = path.rpartition(".")[0] if "." in path else None
+        if parent not in self._members:
             self._members[parent] = []
             self._add(parent)
-        siblings = self._members[parent if nested else ""]
-        if path not in siblings:
-            siblings.append(path)
-
-    def _all(self) -> Iterable[str]:
-        for members in self._members.values():
-            yield from members
+        if path not in self._members[parent]:
+            self._members[parent].append(path)
 
     def value(self, path: str) -> Column:
         return F.col(self._names[path])
 
     def present(self, path: str) -> Column:
         """Neither missing nor JSON null; never NULL itself."""
-        value = self.value(path)
-        return value.isNotNull() & ~F.is_variant_null(value)
+        if path not in self._present:
+            value = self.value(path)
+            self._present[path] = value.isNotNull() & ~F.is_variant_null(value)
+        return self._present[path]
 
     def kind(self, path: str) -> Column:
         return F.col(self._names[path] + "k")
@@ -66,15 +65,15 @@ class Extracted:
             jsonx.is_number(self.kind(path)), F.try_variant_get(self.value(path), "$", "double")
         )
 
-    def is_object(self, path: str = "") -> Column:
-        """Whether the value (the event itself for the empty path) is an object."""
+    def is_object(self, path: str | None = None) -> Column:
+        """Whether the value (the event itself without a path) is an object."""
         if path in self._members:
             return F.col(self._names[path] + "o").isNotNull()
         return F.coalesce(jsonx.is_object(self.kind(path)), F.lit(False))
 
-    def _levels(self) -> list[list[str]]:
+    def _levels(self) -> list[list[str | None]]:
         """Object paths by depth, the event first."""
-        depth = {path: path.count(".") + 1 if path else 0 for path in self._members}
+        depth = {p: 0 if p is None else p.count(".") + 1 for p in self._members}
         return [
             [path for path in self._members if depth[path] == level]
             for level in range(max(depth.values()) + 1)
@@ -82,17 +81,20 @@ class Extracted:
 
     def attach(self, df: DataFrame) -> DataFrame:
         for objects in self._levels():
-            structs = {}
+            structs, values = {}, {}
             for path in objects:
-                source = F.col(self.event) if path == "" else self.value(path)
-                keys = [_key(path, member) for member in self._members[path]]
-                structs[self._names[path] + "o"] = F.try_variant_get(source, "$", _shape(keys))
+                source = F.col(self.event if path is None else self._names[path])
+                packed = self._names[path] + "o"
+                keys = {m: m if path is None else m[len(path) + 1 :] for m in self._members[path]}
+                plain = _plain(keys.values())
+                structs[packed] = F.try_variant_get(source, "$", _shape(plain))
+                for member, key in keys.items():
+                    values[self._names[member]] = (
+                        F.col(packed).getField(key)
+                        if key in plain
+                        else jsonx.get(source, field_path(key))
+                    )
             df = df.withColumns(structs)
-            values = {}
-            for path in objects:
-                packed = F.col(self._names[path] + "o")
-                for member in self._members[path]:
-                    values[self._names[member]] = packed.getField(_key(path, member))
             df = df.withColumns(values) if values else df
         names = [self._names[path] for path in sorted(self.paths)]
         if not names:
@@ -111,16 +113,17 @@ class Extracted:
         return [n + suffix for n in self._names.values() for suffix in ("", "k", "s", "o")]
 
 
-def _key(parent: str, path: str) -> str:
-    return path[len(parent) + 1 :] if parent else path
+def _plain(keys: Iterable[str]) -> list[str]:
+    """Keys that can be struct fields: not empty and no two that differ only in case."""
+    keys = list(keys)
+    folded = [key.lower() for key in keys]
+    return [key for key in keys if key and folded.count(key.lower()) == 1]
 
 
 def _shape(keys: list[str]) -> str:
-    folded = [key.lower() for key in keys]
-    if len(set(folded)) < len(folded):
-        raise ValueError(f"keys of one object differ only in case: {sorted(keys)}")
-    members = ", ".join("`" + key.replace("`", "``") + "`: variant" for key in keys)
-    return f"struct<{members}>"
+    if not keys:
+        return "map<string,variant>"
+    return "struct<" + ", ".join("`" + k.replace("`", "``") + "`: variant" for k in keys) + ">"
 
 
 def with_error(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventrail.functions.fence import compute_once
+
 I64_MAX = 2**63 - 1
 U64_MAX = 2**64 - 1
 
@@ -91,7 +93,8 @@ def parse_strict(df: DataFrame, body: str, out: str = "event") -> DataFrame:
         & ~text.contains("Infinity")
     )
     surrogate = (F.instr(text, "\\u") > 0) & text.rlike(_LONE_SURROGATE)
-    return staged.withColumn(out, F.when(~infinite & ~surrogate, F.col(parsed))).drop(tag, parsed)
+    event = F.when(~infinite & ~surrogate, F.col(parsed))
+    return compute_once(staged.withColumn(out, event).drop(tag, parsed), out)
 
 
 def compact_text(text: Column) -> Column:

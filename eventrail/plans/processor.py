@@ -263,8 +263,10 @@ class _Overlaid:
 
         return self._either(path, new, self._base.number(path))
 
-    def is_object(self, path: str = "") -> Column:
+    def is_object(self, path: str | None = None) -> Column:
         old = self._base.is_object(path)
+        if path is None:
+            return old
         return self._either(path, lambda v: jsonx.is_object(jsonx.kind(v)), old)
 
 

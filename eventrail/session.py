@@ -37,6 +37,8 @@ def local_session(
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Recording the call site of every column costs more than planning it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in _SETTINGS.items():
         builder = builder.config(key, value)
