@@ -76,8 +76,7 @@ def ship_package(spark: SparkSession) -> None:
 def process_with_python(df: DataFrame, functions: Mapping[str, Callable]) -> DataFrame:
     """Add ``deliveries`` and ``processor_error`` by calling each record's function."""
     ship_package(df.sparkSession)
-    kept = df.drop("event")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     schema += f", deliveries {DELIVERY_TYPE}, processor_error string"
     functions = dict(functions)
 
@@ -96,4 +95,4 @@ def process_with_python(df: DataFrame, functions: Mapping[str, Callable]) -> Dat
                 processor_error=[error for _, error in results],
             )
 
-    return kept.mapInPandas(run, schema)
+    return df.mapInPandas(run, schema)

@@ -58,15 +58,24 @@ def plan(
     declared = {k: p for k, p in processors.items() if isinstance(p, Processor)}
     functions = {k: p for k, p in processors.items() if not isinstance(p, Processor)}
     if not functions:
-        processed = process(parsed, declared)
-    else:
-        by_python = F.col("script_key").isin(list(functions))
-        parts = [process_with_python(parsed.filter(by_python), functions)]
-        rest = parsed.filter(F.coalesce(~by_python, F.lit(True)))
-        parts.append(process(rest, declared) if declared else _unprocessed(rest))
-        processed = union_all([part.drop("event") for part in parts])
-        processed = jsonx.parse_strict(processed, "body")
-    return _verdict(processed, sinks, list(processors))
+        return _verdict(_described(process(parsed, declared)), sinks, list(processors))
+    by_python = F.coalesce(F.col("script_key").isin(list(functions)), F.lit(False))
+    called = process_with_python(_described(parsed.filter(by_python)), functions)
+    rest = parsed.filter(~by_python)
+    compiled = process(rest, declared) if declared else _unprocessed(rest)
+    return _verdict(union_all([called, _described(compiled)]), sinks, list(processors))
+
+
+def _described(parsed: DataFrame) -> DataFrame:
+    """Replace the event by what the verdict needs of it."""
+    name = jsonx.get(F.col("event"), '$["xwhat"]')
+    text = F.try_variant_get(name, "$", "string")
+    return parsed.withColumns(
+        {
+            "__valid": F.col("event").isNotNull(),
+            "xwhat": F.when(jsonx.kind(name) == "STRING", text),
+        }
+    ).drop("event")
 
 
 def _unprocessed(df: DataFrame) -> DataFrame:
@@ -86,14 +95,14 @@ def _verdict(processed: DataFrame, sinks: Iterable[str], scripts: list[str]) ->
     )
     blank = jsonx.strip(F.col("bad_target")) == ""
     code = (
-        F.when(F.col("event").isNull(), "replay_invalid_json_body")
+        F.when(~F.col("__valid"), "replay_invalid_json_body")
         .when(F.col("__known").isNull(), "replay_unknown_project")
         .when(failure.isNotNull(), "replay_processor_runtime_failed")
         .when(blank, "replay_empty_sink_target")
         .when(F.col("bad_target").isNotNull(), "replay_unknown_sink_target")
     )
     message = (
-        F.when(F.col("event").isNull(), "invalid wal record json body")
+        F.when(~F.col("__valid"), "invalid wal record json body")
         .when(
             F.col("__known").isNull(),
             F.concat(F.lit("wal record references unknown project `"), "project_id", F.lit("`")),
@@ -105,12 +114,10 @@ def _verdict(processed: DataFrame, sinks: Iterable[str], scripts: list[str]) ->
             F.concat(F.lit("processor emitted unknown sink target `"), "bad_target", F.lit("`")),
         )
     )
-    name = jsonx.get(F.col("event"), '$["xwhat"]')
-    is_text = F.col("code").isNotNull() & (jsonx.kind(name) == "STRING")
     judged = (
         processed.withColumns({"code": code, "message": message})
-        .withColumn("xwhat", F.when(is_text, F.try_variant_get(name, "$", "string")))
-        .drop("__known", "processor_error", "event")
+        .withColumn("xwhat", F.when(F.col("code").isNotNull(), F.col("xwhat")))
+        .drop("__known", "__valid", "processor_error")
     )
     return compute_once(judged, "code", "message", "bad_target", "xwhat", "deliveries")
 

@@ -71,7 +71,7 @@ def test_every_quarantine_code(spark):
 
 def test_planned_blank_target_poisons_the_record(spark):
     plan = records(spark, GOOD, GOOD).withColumns({
-        "event": F.parse_json("body"), "__known": F.lit(True), "script_key": F.lit("p"),
+        "__valid": F.lit(True), "xwhat": F.lit("x"), "__known": F.lit(True), "script_key": F.lit("p"),
         "processor_error": F.lit(None).cast("string"),
         "deliveries": F.array(
             F.struct(F.lit("events").alias("target"), F.col("body").alias("event_json")),
