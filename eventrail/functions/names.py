@@ -86,3 +86,8 @@ def duration_seconds(text: str) -> float:
             raise ValueError(f"unknown duration unit `{unit}` in {text!r}")
         total += int(amount) * _UNITS[unit]
     return total
+
+
+def trigger_interval(text: str) -> str:
+    """A duration as the interval of a streaming trigger."""
+    return f"{round(duration_seconds(text) * 1000)} milliseconds"

@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from eventrail.functions.names import trigger_interval
 from eventrail.operators import admit
 from eventrail.operators.log import append_log
 from eventrail.operators.metrics import rates
@@ -45,7 +46,7 @@ def ingest_stream(
     def run(batch: DataFrame, batch_id: int) -> None:
         ingest_batch(batch, load_projects(), log_path, rejections_root, batch_id)
 
-    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    trigger = {"processingTime": trigger_interval(interval)} if interval else {"availableNow": True}
     return (
         requests.writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(run)

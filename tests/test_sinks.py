@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from eventrail.functions.names import duration_seconds
+from eventrail.functions.names import duration_seconds, trigger_interval
 from eventrail.operators.projection import ColumnSpec, check_columns, project_columns
 from eventrail.session import scratch_path
 from eventrail.sinks import writers
@@ -159,6 +159,7 @@ def test_sinks_are_loaded_from_the_config_tables(spark):
 
 def test_durations():
     assert [duration_seconds(t) for t in ("0s", "5s", "1m", "1h 30m", "10ms")] == [0, 5, 60, 5400, 0.01]
+    assert trigger_interval("1m 500ms") == "60500 milliseconds"
     for text in ("", "5", "5 parsecs", "x5s"):
         with pytest.raises(ValueError):
             duration_seconds(text)
