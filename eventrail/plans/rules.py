@@ -7,8 +7,10 @@ A rule file is a mapping ``{"fields": {path: rule}}``. A rule may hold ``require
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from eventrail.functions.checks import Event, Field, If, Step, when
 
@@ -85,3 +87,29 @@ class RuleBook:
                 inside = inside | name.eq(member)
             steps.append(when(inside, *file_steps(group.default), *group._own(name)))
         return steps
+
+
+def _read(path: Path) -> Mapping:
+    text = path.read_text(encoding="utf-8")
+    if path.suffix == ".json":
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as error:
+        raise RuntimeError(f"reading {path.name} needs a YAML package; JSON does not") from error
+    return yaml.safe_load(text) or {}
+
+
+def load_rule_book(folder: str | Path) -> RuleBook:
+    """Rules of a folder: ``default``, one file per event name, one subfolder per group."""
+    default: Mapping = {}
+    events, groups = {}, {}
+    for path in sorted(Path(folder).iterdir()):
+        if path.is_dir():
+            groups[path.name] = load_rule_book(path)
+        elif path.suffix in (".json", ".yaml", ".yml"):
+            if path.stem == "default":
+                default = _read(path)
+            else:
+                events[path.stem] = _read(path)
+    return RuleBook(default, events, groups)
