@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from eventrail.llm.interleave import op2_interleave
+from eventrail.llm.neighbours import op9_neighbours
 
 QUERIES = {
     "op2_interleave": op2_interleave,
+    "op9_neighbours": op9_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {}
