@@ -16,7 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventrail.llm.common import table
+from eventrail.llm.common import ships_with_tasks, table
+
+ships_with_tasks(__name__)
 
 #: Bounds of the model: labelled documents, latent dimensions, neighbours that vote.
 SAMPLE_ROWS = 6144
@@ -169,12 +171,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     other columns, nulls and repeated rows pass unchanged; existing columns of these two names
     are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    parts = (model.projection, model.vectors, model.labels, model.prior)
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
 
     @F.pandas_udf("double")
     def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Model(*shared.value)
         for batch in texts:
-            yield pd.Series(shared.value.scores(batch.tolist()))
+            yield pd.Series(known.scores(batch.tolist()))
 
     scored = docs.withColumn("score", scores(F.col("text")))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

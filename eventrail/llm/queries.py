@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from eventrail.llm.interleave import op2_interleave
 from eventrail.llm.neighbours import op9_neighbours
+from eventrail.llm.simhash import op7_simhash
 
 QUERIES = {
     "op2_interleave": op2_interleave,
+    "op7_simhash": op7_simhash,
     "op9_neighbours": op9_neighbours,
 }
 
