@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from eventrail.llm import decontaminate
+from eventrail.llm.decontaminate import op5_decontaminate
 from eventrail.llm.interleave import op2_interleave
 from eventrail.llm.neighbours import op9_neighbours
 from eventrail.llm.simhash import op7_simhash
 
 QUERIES = {
     "op2_interleave": op2_interleave,
+    "op5_decontaminate": op5_decontaminate,
     "op7_simhash": op7_simhash,
     "op9_neighbours": op9_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_decontaminate": decontaminate.ORACLE_SQL,
+}
