@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from eventrail.llm import decontaminate
+from eventrail.llm.bpe import op8_bpe
 from eventrail.llm.decontaminate import op5_decontaminate
 from eventrail.llm.interleave import op2_interleave
 from eventrail.llm.neighbours import op9_neighbours
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_interleave": op2_interleave,
     "op5_decontaminate": op5_decontaminate,
     "op7_simhash": op7_simhash,
+    "op8_bpe": op8_bpe,
     "op9_neighbours": op9_neighbours,
 }
 
