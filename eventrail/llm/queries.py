@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from eventrail.llm import decontaminate
+from eventrail.llm import decontaminate, secrets
 from eventrail.llm.bpe import op8_bpe
 from eventrail.llm.decontaminate import op5_decontaminate
 from eventrail.llm.interleave import op2_interleave
 from eventrail.llm.neighbours import op9_neighbours
+from eventrail.llm.secrets import op3_secrets
 from eventrail.llm.simhash import op7_simhash
 
 QUERIES = {
     "op2_interleave": op2_interleave,
+    "op3_secrets": op3_secrets,
     "op5_decontaminate": op5_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
@@ -18,5 +20,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_secrets": secrets.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
 }
