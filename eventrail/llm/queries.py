@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from eventrail.llm import decontaminate, secrets
+from eventrail.llm import chat, decontaminate, secrets
 from eventrail.llm.bpe import op8_bpe
+from eventrail.llm.chat import op1_chat
 from eventrail.llm.decontaminate import op5_decontaminate
 from eventrail.llm.interleave import op2_interleave
 from eventrail.llm.neighbours import op9_neighbours
@@ -11,6 +12,7 @@ from eventrail.llm.secrets import op3_secrets
 from eventrail.llm.simhash import op7_simhash
 
 QUERIES = {
+    "op1_chat": op1_chat,
     "op2_interleave": op2_interleave,
     "op3_secrets": op3_secrets,
     "op5_decontaminate": op5_decontaminate,
@@ -20,6 +22,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_chat": chat.ORACLE_SQL,
     "op3_secrets": secrets.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
 }
