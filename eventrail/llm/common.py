@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,33 @@ def ships_with_tasks(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+ships_with_tasks(__name__)
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames that end where a group ends, with the bounds of the groups in them.
+
+    For rows that are dealt and sorted by integer ``keys``. What is held between batches is one
+    group, so the callers bound the size of a group.
+    """
+    held: pd.DataFrame | None = None
+
+    def bounds(frame: pd.DataFrame) -> np.ndarray:
+        key = frame[keys].to_numpy(np.int64)
+        new = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        return np.concatenate([[0], new, [len(key)]])
+
+    for batch in batches:
+        if len(batch):
+            frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            cuts = bounds(frame)
+            if cuts[-2]:
+                yield frame.iloc[: cuts[-2]], cuts[:-1]
+            held = frame.iloc[cuts[-2] :].reset_index(drop=True)
+    if held is not None:
+        yield held, bounds(held)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from eventrail.llm import chat, decontaminate, secrets
+from eventrail.llm import chat, decontaminate, projections, secrets
 from eventrail.llm.bpe import op8_bpe
 from eventrail.llm.chat import op1_chat
 from eventrail.llm.decontaminate import op5_decontaminate
 from eventrail.llm.interleave import op2_interleave
 from eventrail.llm.neighbours import op9_neighbours
+from eventrail.llm.projections import op10_projections
 from eventrail.llm.secrets import op3_secrets
 from eventrail.llm.simhash import op7_simhash
 
@@ -19,10 +20,12 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
     "op9_neighbours": op9_neighbours,
+    "op10_projections": op10_projections,
 }
 
 ORACLE_SQL = {
     "op1_chat": chat.ORACLE_SQL,
     "op3_secrets": secrets.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
+    "op10_projections": projections.ORACLE_SQL,
 }

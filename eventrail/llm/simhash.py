@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventrail.llm.common import components, ships_with_tasks, staged, table
+from eventrail.llm.common import components, ships_with_tasks, staged, table, whole_groups
 
 ships_with_tasks(__name__)
 
@@ -154,13 +154,8 @@ def linked(codes: DataFrame, label: str, radius: int = RADIUS, tree_nodes: int =
     place = ["key", "tree", "asked"]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-
-        def links(frame: pd.DataFrame) -> pd.DataFrame:
+        for frame, bounds in whole_groups(batches, place):  # a group is two shards at most
             found: list[tuple[int, int]] = []
-            key = frame[place].to_numpy(np.int64)
-            new = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            bounds = np.concatenate([[0], new, [len(key)]])
             code = frame["code"].to_numpy(np.int64).view(np.uint64)
             node = frame["node"].to_numpy(bool)
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
@@ -168,20 +163,7 @@ def linked(codes: DataFrame, label: str, radius: int = RADIUS, tree_nodes: int =
                     part, flag = code[lo:hi], node[lo:hi]
                     found += _forest(part[flag].tolist(), part[~flag].tolist(), radius)
             pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = frame[place].iloc[-1]
-            open_rows = (frame[place] == last).all(axis=1).to_numpy()
-            done = frame[~open_rows]
-            held = frame[open_rows].reset_index(drop=True)  # two shards at most
-            if len(done):
-                yield links(done)
-        if held is not None and len(held):
-            yield links(held)
+            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     dealt = cells.repartition(*place).sortWithinPartitions(*place, "code")
     return components(dealt.mapInPandas(search, "a long, b long"), label)
