@@ -9,6 +9,7 @@ from eventrail.llm.decontaminate import op5_decontaminate
 from eventrail.llm.interleave import op2_interleave
 from eventrail.llm.neighbours import op9_neighbours
 from eventrail.llm.projections import op10_projections
+from eventrail.llm.repair import op4_repair
 from eventrail.llm.secrets import op3_secrets
 from eventrail.llm.simhash import op7_simhash
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_chat": op1_chat,
     "op2_interleave": op2_interleave,
     "op3_secrets": op3_secrets,
+    "op4_repair": op4_repair,
     "op5_decontaminate": op5_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
