@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Iterator
 
@@ -69,6 +70,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop the shuffle files of finished jobs that nothing refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(df: DataFrame, order: list[str], out: str, label: str) -> DataFrame:
     """Gapless row numbers from 0 in the given order, without a single-task sort.
 

@@ -12,6 +12,7 @@ from eventrail.llm.projections import op10_projections
 from eventrail.llm.repair import op4_repair
 from eventrail.llm.secrets import op3_secrets
 from eventrail.llm.simhash import op7_simhash
+from eventrail.llm.suffixes import op6_suffixes
 
 QUERIES = {
     "op1_chat": op1_chat,
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_repair": op4_repair,
     "op5_decontaminate": op5_decontaminate,
+    "op6_suffixes": op6_suffixes,
     "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
     "op9_neighbours": op9_neighbours,
