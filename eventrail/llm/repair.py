@@ -14,6 +14,7 @@ import struct
 import sys
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -35,10 +36,12 @@ END_ID = 1
 SHARD_IDS = 1 << 20
 FREQUENT = 32
 #: Words whose ids a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 _HEAD = "<4sIQII"  # magic, documents, ids, rules, symbols
 _MAGIC = b"RPG1"
+_MARKS = b".,;:!?"
+_DOTTED = "\u0130"  # its lower case is a letter and a mark
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = 18
 
@@ -55,19 +58,47 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        for at in range(0, len(words), 512):
-            part = [w.decode() for w in words[at : at + 512]]
-            starts = np.cumsum([0] + [len(w) + 1 for w in part])
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            places = np.array([a for a, _ in found.offsets], np.int64)
-            cuts = np.searchsorted(places, starts)
+        spelled = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closing = np.zeros(max(spelled.values()) + 1, bool)
+        self.closing[[n for token, n in spelled.items() if token.endswith("</w>")]] = True
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Ids of new words. Marks at the end of a word are split off and shared by all words.
+
+        A letter before one of these marks ends a match of the vocabulary's pattern, and a word
+        of letters is one match, whose last id is the only one that closes a word. So words of
+        letters are encoded together and told apart by closing ids; all others go alone.
+        """
+        known, stems = self.known, {}
+        for word in words:
+            stem = word.rstrip(_MARKS)
+            last = stem.decode()[-1:]
+            if stem != word and last.isalpha() and last != _DOTTED:
+                stems[word] = stem
+        needed = words.difference(stems)
+        needed.update(stems.values(), (w[len(s) :] for w, s in stems.items()))
+        needed.difference_update(known)
+        plain, other = [], []
+        for word in needed:
+            text = word.decode()
+            (plain if text.isalpha() and _DOTTED not in text else other).append(text)
+        groups = [plain[at : at + 512] for at in range(0, len(plain), 512)]
+        joined = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, found in zip(groups, joined, strict=True):
             ids = np.array(found.ids, "<u4")
-            for word, lo, hi in zip(words[at : at + 512], cuts[:-1], cuts[1:], strict=True):
-                self.known[word] = ids[lo:hi].tobytes()
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) != len(group):
+                other += group
+                continue
+            data, at = ids.tobytes(), 0
+            for text, end in zip(group, (4 * ends).tolist(), strict=True):
+                known[text.encode()] = data[at:end]
+                at = end
+        alone = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+        for text, found in zip(other, alone, strict=True):
+            known[text.encode()] = np.array(found.ids, "<u4").tobytes()
+        for word, stem in stems.items():
+            known[word] = known[stem] + known[word[len(stem) :]]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, the end id last."""
@@ -77,7 +108,7 @@ class WordEncoder:
             if len(self.known) + len(unknown) > CACHE_WORDS:
                 unknown = set().union(*split)
                 self.known.clear()
-            self._learn(sorted(unknown))
+            self._learn(unknown)
         get, end = self.known.__getitem__, END_ID.to_bytes(4, "little")
         return [np.frombuffer(b"".join(map(get, words)) + end, "<u4") for words in split]
 
@@ -91,46 +122,61 @@ def encoder(vocabulary: str) -> WordEncoder:
     return held[key]
 
 
-def _frequent_pairs(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of pairs that occur often enough, which pair each is, and how often it occurs."""
-    code = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-    slot = ((code * _HASH) >> np.uint64(64 - _SPREAD)).astype(np.int64)
-    often = np.flatnonzero(np.bincount(slot, minlength=1 << _SPREAD)[slot] >= least)
-    pairs, which, counts = np.unique(code[often], return_inverse=True, return_counts=True)
-    good = counts[which] >= least
-    return often[good], pairs[which[good]], counts[which[good]]
+def _frequent_pairs(symbols: np.ndarray, least: int, turn: int) -> tuple[np.ndarray, ...]:
+    """(places, slots, counts by slot, pairs by slot) of pairs that occur often enough.
+
+    Pairs are counted in hashed slots, one pair in each; a pair that loses its slot to another
+    has its chance in a later round, when the hash is another one.
+    """
+    code = symbols[:-1].astype(np.uint64)
+    code <<= np.uint64(32)
+    code |= symbols[1:]
+    slot = ((code * (_HASH + np.uint64(2 * turn))) >> np.uint64(64 - _SPREAD)).astype(np.int32)
+    at = np.flatnonzero((np.bincount(slot, minlength=1 << _SPREAD) >= least)[slot])
+    code, slot = code[at], slot[at]
+    pair = np.zeros(1 << _SPREAD, np.uint64)
+    pair[slot] = code
+    mine = pair[slot] == code
+    at, slot = at[mine], slot[mine]
+    counts = np.bincount(slot, minlength=1 << _SPREAD)
+    often = counts[slot] >= least
+    return at[often], slot[often], counts, pair
 
 
 def compress(ids: np.ndarray, base: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Rules (left, right) of the symbols from ``base`` on, and the sequence that is left.
 
     A round replaces every frequent pair where it outnumbers the pairs that overlap it, so the
-    most frequent pairs go first; rounds end when no pair is frequent.
+    most frequent pairs go first. Rounds end when no pair is frequent, or when one has
+    shortened the sequence by less than a hundredth.
     """
     symbols, rules = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)]
-    made = base
+    made, turn = base, 0
     while len(symbols) > 1:
-        at, code, count = _frequent_pairs(symbols, frequent)
+        at, slot, counts, pair = _frequent_pairs(symbols, frequent, turn)
         if not len(at):
             break
-        weight = np.zeros(len(symbols) + 1, np.int64)
-        weight[at + 1] = 2 * count + (at & 1)  # runs of one symbol: every second pair
-        chosen = (weight[at + 1] > weight[at]) & (weight[at + 1] > np.append(weight, 0)[at + 2])
-        at, code = at[chosen], code[chosen]
-        fresh, which, held = np.unique(code, return_inverse=True, return_counts=True)
-        worth = held * 2 >= frequent
-        if not worth.any():
+        weight = np.zeros(len(symbols) + 2, np.int64)
+        own = 2 * counts[slot] + (at & 1)  # runs of one symbol: every second pair
+        weight[at + 1] = own
+        chosen = (own > weight[at]) & (own > weight[at + 2])
+        at, slot = at[chosen], slot[chosen]
+        worth = np.bincount(slot, minlength=len(counts)) * 2 >= frequent
+        chosen = worth[slot]
+        at, slot = at[chosen], slot[chosen]
+        if not len(at):
             break
-        number = np.cumsum(worth) - 1
-        keep = worth[which]
-        at, which = at[keep], number[which[keep]]
-        fresh = fresh[worth]
+        fresh = pair[worth]
         rules.append(np.stack([fresh >> np.uint64(32), fresh & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        symbols[at] = (made + which).astype(np.uint32)
+        symbols[at] = (made + np.cumsum(worth) - 1)[slot]
         rest = np.ones(len(symbols), bool)
         rest[at + 1] = False
+        few = len(at) * 100 < len(symbols)
         symbols = symbols[rest]
         made += len(fresh)
+        turn += 1
+        if few:
+            break
     return np.concatenate(rules), symbols
 
 
@@ -143,20 +189,26 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return np.array(lengths, np.uint32)
 
 
+def _kind(symbols: int) -> str:
+    """The narrowest number that holds every symbol."""
+    return "<u2" if symbols <= 1 << 16 else "<u4"
+
+
 def pack(keys: list[int | None], lengths: list[int], ids: np.ndarray, frequent: int = FREQUENT) -> bytes:
     """One container: keys and id counts of its documents, rules, expansion lengths, sequence."""
     base = int(ids.max()) + 1
     rules, symbols = compress(ids, base, frequent)
     null = np.array([k is None for k in keys], np.uint8)
+    kind = _kind(base + len(rules))
     parts = [
         struct.pack(_HEAD, _MAGIC, len(keys), len(ids), len(rules), len(symbols)),
         struct.pack("<I", base),
         null.tobytes(),
         np.array([k or 0 for k in keys], "<i8").tobytes(),
         np.array(lengths, "<u8").tobytes(),
-        rules.astype("<u4").tobytes(),
+        rules.astype(kind).tobytes(),
         expansion_lengths(rules, base).astype("<u4").tobytes(),
-        symbols.astype("<u4").tobytes(),
+        symbols.astype(kind).tobytes(),
     ]
     return b"".join(parts)
 
@@ -180,9 +232,10 @@ class Container:
         null = take("u1", docs)
         self.keys = [None if n else k for n, k in zip(null.tolist(), take("<i8", docs).tolist(), strict=True)]
         self.lengths = take("<u8", docs).astype(np.int64)
-        self.rules = take("<u4", 2 * rules).reshape(-1, 2)
+        kind = _kind(self.base + rules)
+        self.rules = take(kind, 2 * rules).reshape(-1, 2).astype(np.int64)
         self.expands = take("<u4", rules).astype(np.int64)
-        self.symbols = take("<u4", symbols)
+        self.symbols = take(kind, symbols).astype(np.uint32)
         self.ends = np.cumsum(self._widths(self.symbols))
 
     def _widths(self, symbols: np.ndarray) -> np.ndarray:
@@ -191,16 +244,33 @@ class Container:
         widths[new] = self.expands[symbols[new] - self.base]
         return widths
 
+    @cached_property
+    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        """What every rule stands for, one after the other, and where each begins."""
+        begins = np.append(0, np.cumsum(self.expands))
+        table, base = np.empty(begins[-1], np.uint32), self.base
+        for (left, right), at in zip(self.rules.tolist(), begins.tolist(), strict=False):
+            for symbol in (left, right):
+                if symbol < base:
+                    table[at] = symbol
+                    at += 1
+                else:
+                    low, high = begins[symbol - base], begins[symbol - base + 1]
+                    table[at : at + high - low] = table[low:high]
+                    at += high - low
+        return table, begins
+
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Every symbol in place of the rules, level by level."""
-        while (new := symbols >= self.base).any():
-            place = np.cumsum(1 + new) - 1 - new
-            out = np.empty(len(symbols) + int(new.sum()), np.uint32)
-            out[place] = symbols
-            pair = self.rules[symbols[new] - self.base]
-            out[place[new]], out[place[new] + 1] = pair[:, 0], pair[:, 1]
-            symbols = out
-        return symbols
+        """The symbols with the expansions of the rules in place of theirs."""
+        table, begins = self._expansions
+        widths = self._widths(symbols)
+        out = np.repeat(symbols, widths)
+        new = np.flatnonzero(out >= self.base)
+        ends = np.cumsum(widths)
+        rule = out[new] - self.base
+        first = np.repeat(ends - widths, widths)[new]
+        out[new] = table[begins[rule] + new - first]
+        return out
 
     def ids(self, start: int = 0, end: int | None = None) -> np.ndarray:
         """The ids from ``start`` to ``end``; only the symbols that cover them are expanded."""
