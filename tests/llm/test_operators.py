@@ -70,7 +70,7 @@ def test_trigram_queries():
 def test_secrets_of_awkward_rows(spark):
     found = {r["doc_id"]: r for r in secrets.scan(awkward(spark)).collect()}
     assert [tuple(s) for s in found[None]["spans"]] == [
-        (0, 0, "assign", 26), (32, 1, "access", 52),
+        (0, 0, "assign", 25), (32, 1, "access", 52),
     ]
     assert [s["name"] for s in found[7]["spans"]] == ["hex"]
     assert found[3]["spans"] == [] and found[4]["spans"] == [] and found[5]["n_chars"] > 100000
