@@ -10,9 +10,6 @@ from eventrail.functions import jsonx
 TOKEN_FIELD = "x-ingest-token"
 FORM_TYPE = "application/x-www-form-urlencoded"
 
-_ROOT_TOKEN = r'"x-ingest-token"[ \t\r\n]*:[ \t\r\n]*(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[-+.0-9A-Za-z]+)'
-_SEPARATOR = r"[ \t\r\n]*,[ \t\r\n]*"
-
 
 def url_decoded(text: Column) -> Column:
     """Percent-decoding; a ``%`` that starts no escape stands for itself."""
@@ -57,30 +54,6 @@ def usable_token(text: Column) -> Column:
     return F.nullif(jsonx.strip(text), F.lit(""))
 
 
-def _without_root_token(text: Column) -> Column:
-    """Cut the one root token member out of the text."""
-    cut = F.regexp_replace(text, _SEPARATOR + _ROOT_TOKEN, "")
-    return F.regexp_replace(cut, _ROOT_TOKEN + f"(?:{_SEPARATOR})?", "")
-
-
-def _json_text(text: Column, event: Column, has_token: Column) -> Column:
-    """Event text without the token: printed from the value unless that would respell
-    a number such as ``1.0``; then the spaces are removed from the text itself."""
-    printed = F.when(has_token, F.to_json(jsonx.without_key(event, TOKEN_FIELD))).otherwise(
-        F.to_json(event)
-    )
-    mentions = F.length(text) - F.length(F.replace(text, F.lit(TOKEN_FIELD), F.lit("")))
-    once = mentions == len(TOKEN_FIELD)
-    kept = jsonx.compact_text(text)
-    cut = jsonx.compact_text(_without_root_token(text))
-    return (
-        F.when(jsonx.keeps_number_text(text), printed)
-        .when(~has_token, kept)
-        .when(once, cut)
-        .otherwise(printed)
-    )
-
-
 def decode(requests: DataFrame) -> DataFrame:
     """Add ``decoder``, ``decode_issue``, ``body_token``, ``event`` and ``event_text``.
 
@@ -112,7 +85,6 @@ def decode(requests: DataFrame) -> DataFrame:
     )
     root_token = jsonx.get(F.col("event"), f'$["{TOKEN_FIELD}"]')
     staged = staged.withColumn("__token", root_token)
-    has_token = F.col("__token").isNotNull()
     json_token = F.when(
         jsonx.kind(F.col("__token")) == "STRING",
         usable_token(F.try_variant_get("__token", "$", "string")),
@@ -138,7 +110,7 @@ def decode(requests: DataFrame) -> DataFrame:
             ),
             "event_text": F.when(
                 F.col("decoder") == "json",
-                _json_text(F.col("body").cast("string"), F.col("event"), has_token),
+                jsonx.printed(F.col("body").cast("string"), F.col("event"), TOKEN_FIELD),
             ).otherwise(pairs_object(fields)),
         }
     ).drop("__json", "__pairs", "__token")

@@ -266,6 +266,17 @@ ORACLE_SQL: dict[str, str] = {
     "s_decode_requests": _with(*_ADMIT) + """
 SELECT e AS request_seq, decoder, decode_issue, body_token,
   CASE WHEN decode_issue IS NULL THEN event_text END AS event_text FROM outcome""",
+    "s_decode_spelling": """
+SELECT event_id AS request_seq,
+  CASE WHEN event_id % 22 = 0 THEN 'ingest_invalid_form' END AS decode_issue,
+  CASE WHEN event_id % 22 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'f'
+    WHEN event_id % 7 = 5 THEN 'tok-' || event_id END AS body_token,
+  CASE WHEN event_id % 22 = 0 THEN NULL WHEN event_id % 11 = 0 THEN '{"a":"1"}' ELSE
+    '{"a":"last ' || event_id || '","in":{"b":[2.0,3],"x-ingest-token":"kept 1.0"},"z":' ||
+    CASE event_id % 5
+      WHEN 0 THEN n || '.0' WHEN 1 THEN n || '.5' WHEN 2 THEN (n * 1000) || '.0'
+      WHEN 3 THEN '-' || (n * 10 + 2) || '.5' ELSE CAST(n AS VARCHAR) END || '}' END AS event_text
+FROM (SELECT event_id, event_id % 100 AS n FROM events)""",
     "s_query_strings": """
 WITH pairs AS (
   SELECT page_id, i, split_part(p, '=', 1) AS k,

@@ -268,6 +268,14 @@ def decoded_requests(spark, folder):
     )
 
 
+def decoded_spellings(spark, folder):
+    """Bodies with every kind of token member, number spelling and key order."""
+    return decode.decode(derived.spelled_requests(spark, folder)).select(
+        "request_seq", "decode_issue",
+        *[F.when(F.col("decode_issue").isNull(), F.col(c)).alias(c) for c in ("body_token", "event_text")],
+    )
+
+
 def page_queries(spark, folder):
     """Query strings of page URLs as events."""
     pages = derived.table(spark, folder, "pages")
@@ -764,6 +772,7 @@ def stream_replay(spark, folder):
 
 QUERIES: dict[str, Query] = {
     "s_decode_requests": decoded_requests,
+    "s_decode_spelling": decoded_spellings,
     "s_query_strings": page_queries,
     "s_log_scan": log_scan,
     "s_log_after_checkpoint": log_after_checkpoint,

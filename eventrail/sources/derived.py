@@ -147,6 +147,31 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def spelled_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Posts whose bodies spell tokens, numbers and keys in many ways, and bad forms."""
+    e = F.col("event_id")
+    token = F.array(
+        F.lit('{"a":[1,"]"]}'), F.lit('["s"]'), F.lit("null"), F.lit("1.0"), F.lit("true"),
+        _text('" tok-', e, ' "'), F.lit('""'),
+    )
+    whole = (e % 100).cast("string")
+    number = F.array(
+        _text(whole, ".0"), _text(whole, ".50"), _text(whole, "e3"), _text("-", whole, ".25E+1"), whole,
+    )
+    body = _text(
+        '{ "z" : ', F.get(number, (e % 5).cast("int")), ', "x-ingest-token" :', F.get(token, (e % 7).cast("int")),
+        ',"a": 1,\n"in":{"x-ingest-token":"kept 1.0","b":[2.0, 3]},"a":"last ', e, '"}',
+    )
+    form = e % 11 == 0
+    return events(spark, folder).select(
+        e.alias("request_seq"), F.lit("POST").alias("method"), F.lit(None).cast("string").alias("query"),
+        F.when(form, "application/x-www-form-urlencoded").otherwise("application/json").alias("content_type"),
+        # A form that is no UTF-8 text is refused.
+        F.when(form & (e % 2 == 0), F.unhex(F.lit("613DFF"))).when(form, F.lit("a=1&x-ingest-token=f").cast("binary"))
+        .otherwise(body.cast("binary")).alias("body"),
+    )
+
+
 def projects(spark: SparkSession, folder: str) -> DataFrame:
     c = F.col("c_custkey")
     return table(spark, folder, "customer").select(

@@ -38,6 +38,31 @@ def test_strict_parse(spark):
     assert [i for i, ok in parsed.items() if ok] == list(range(len(good)))
 
 
+def test_nesting_limit(spark):
+    bodies = ["[" * n + "]" * n for n in (127, 128, 200)]
+    bodies += ['{"a":' * 127 + "1" + "}" * 127, '{"a":' * 128 + "1" + "}" * 128, '["' + "[" * 300 + '"]']
+    rows = events(spark, *bodies).orderBy("i").collect()
+    assert [row["event"] is not None for row in rows] == [True, False, False, True, False, True]
+
+
+def test_token_never_stays_and_numbers_keep_their_kind(spark):
+    cases = {
+        '{"x-ingest-token":{"a":1},"v":1.0}': '{"v":1.0}',
+        '{"x-ingest-token":["s", {"x":"]"}],"v":2e3}': '{"v":2000.0}',
+        '{"x-ingest-token":null,"b":1.0,"a":2,"a":3}': '{"a":3,"b":1.0}',
+        '{"x-ingest-token":"a","x-ingest-token":"b","s":"1.50 e \\" 1.0","v":1.50}': '{"s":"1.50 e \\" 1.0","v":1.5}',
+        '{"v":[1e16,1E15,1.5e-7,0.00001,0.000123,12345678.9,-0,-0.0,0.0,1e-6,123456789012345680000]}':
+            '{"v":[1e16,1000000000000000.0,1.5e-7,0.00001,0.000123,12345678.9,-0.0,-0.0,0.0,1e-6,1.2345678901234568e20]}',
+        '{"v":[18446744073709551615,-9223372036854775808,18446744073709551616]}':
+            '{"v":[18446744073709551615,-9223372036854775808,1.8446744073709552e19]}',
+        '[1.0, {"x-ingest-token":1.0}]': '[1.0,{"x-ingest-token":1.0}]',
+        "1.0": "1.0",
+    }
+    rows = decode.decode(requests(spark, *[{"body": b} for b in cases])).orderBy("request_seq").collect()
+    found = [row["event_text"] for row in rows]
+    assert found == list(cases.values())
+
+
 def test_decoded_text(spark):
     items = [
         {"body": '{"b": 1, "x-ingest-token": " t ", "a": [1, 2]}'},
@@ -54,8 +79,8 @@ def test_decoded_text(spark):
     assert [(row["event_text"], row["body_token"]) for row in rows] == [
         ('{"a":[1,2],"b":1}', "t"),
         ('{"a":68.0,"s":"x y"}', "t"),
-        ('{"a":1e2}', None),
-        ('{"in":{"x-ingest-token":"t"},"a":1.50}', None),
+        ('{"a":100.0}', None),
+        ('{"a":1.5,"in":{"x-ingest-token":"t"}}', None),
         ("[1,2]", None),
         ('{"":"v","a":"x y!","b":"3","c":"","e":"%zz"}', None),
         ('{"a":"1"}', "two"),
