@@ -273,11 +273,7 @@ class Field(Step):
                 lambda f: ~jsonx.is_integer(f.kind(path), f.value(path))
                 & (f.number(path) == expected)
             )
-        literal = json.dumps(expected, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        return self._cond(
-            lambda f: (F.to_json(f.value(path)) == F.to_json(F.parse_json(F.lit(literal))))
-            & (f.kind(path) == F.schema_of_variant(F.parse_json(F.lit(literal))))
-        )
+        return self._cond(lambda f: _equals(f.value(path), expected))
 
     def exists(self) -> Cond:
         """Present, not null and not the empty string."""
@@ -290,6 +286,34 @@ class Field(Step):
         return FieldValue(self.path)
 
 
+def _equals(value: Column, expected: object) -> Column:
+    """JSON equality of a VARIANT with a constant: kind and value of every leaf."""
+    kind = jsonx.kind(value)
+    if expected is None:
+        same = F.is_variant_null(value)
+    elif isinstance(expected, str):
+        same = (kind == "STRING") & (F.try_variant_get(value, "$", "string") == expected)
+    elif isinstance(expected, bool):
+        same = (kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == expected)
+    elif isinstance(expected, int):
+        exact = F.lit(str(expected)).cast("decimal(20,0)")
+        same = jsonx.is_integer(kind, value) & (F.try_variant_get(value, "$", "decimal(20,0)") == exact)
+    elif isinstance(expected, float):
+        number = F.try_variant_get(value, "$", "double")
+        same = jsonx.is_number(kind) & ~jsonx.is_integer(kind, value) & (number == expected)
+    elif isinstance(expected, dict):
+        found = jsonx.members(value)
+        same = jsonx.is_object(kind) & (F.size(found) == len(expected))
+        for key, item in expected.items():
+            same = same & _equals(F.try_element_at(found, F.lit(key)), item)
+    else:
+        found = F.try_variant_get(value, "$", "array<variant>")
+        same = jsonx.is_array(kind) & (F.size(found) == len(expected))
+        for place, item in enumerate(expected):
+            same = same & _equals(F.get(found, F.lit(place)), item)
+    return F.coalesce(same, F.lit(False))
+
+
 def _fold(text: str) -> str:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
 

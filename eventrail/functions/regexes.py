@@ -4,7 +4,19 @@ from __future__ import annotations
 
 import re
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
+
 _GROUP = re.compile(r"\(\?(P?<[A-Za-z_]\w*>|[imsx-]*[:)])")
+_POSIX = re.compile(r"\[:(\^?)([a-z]+):\]")
+# Java's names of the POSIX classes; the source dialect has them for ASCII only.
+_POSIX_CLASSES = {
+    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": "\\x00-\\x7F", "blank": "\\t ",
+    "cntrl": "\\x00-\\x1F\\x7F", "digit": "0-9", "graph": "!-~", "lower": "a-z", "print": " -~",
+    "punct": "!-/:-@\\[-`{-~", "space": "\\t\\n\\x0B\\f\\r ", "upper": "A-Z", "word": "0-9A-Za-z_",
+    "xdigit": "0-9A-Fa-f",
+}
+_PROPERTY = re.compile(r"\\[pP](?:\{(\^?)([^}]*)\}|([A-Z]))")
 _ESCAPES = set("dDwWsSbBAzntrfv0123456789pPxuU")
 
 
@@ -22,6 +34,10 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
         char = pattern[position]
         if char == "\\":
             name = pattern[position + 1 : position + 2]
+            if name in ("p", "P"):
+                text, position = _property(pattern, position)
+                out.append(text)
+                continue
             if name == "" or (name.isalnum() and name not in _ESCAPES):
                 raise ValueError(f"unsupported escape `\\{name}` in regex `{pattern}`")
             if name.isdigit():
@@ -31,6 +47,13 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
             position += 2
             continue
         if in_class:
+            posix = _POSIX.match(pattern, position)
+            if posix:
+                if posix.group(2) not in _POSIX_CLASSES:
+                    raise ValueError(f"unknown class `{posix.group(0)}` in regex `{pattern}`")
+                out.append(f"[{posix.group(1)}{_POSIX_CLASSES[posix.group(2)]}]")
+                position = posix.end()
+                continue
             if pattern.startswith(("--", "~~"), position):
                 raise ValueError(f"unsupported class operation in regex `{pattern}`")
             in_class += (char == "[") - (char == "]")
@@ -51,14 +74,47 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
             continue
         elif char == "$":
             out.append("$" if multi_line else "\\z")
-        elif char == "+" and _after_quantifier(pattern, position):
+        elif char == "+" and _after_quantifier(pattern, position) and not _ends_escape(pattern, position):
             raise ValueError(f"possessive quantifiers are not supported: `{pattern}`")
         else:
             out.append(char)
         position += 1
     if in_class:
         raise ValueError(f"unclosed character class in regex `{pattern}`")
-    return ("(?Udi)" if ignore_case else "(?Ud)") + "".join(out)
+    return _compiled(("(?Udi)" if ignore_case else "(?Ud)") + "".join(out), pattern)
+
+
+def _property(pattern: str, position: int) -> tuple[str, int]:
+    """A Unicode property in Java's spelling: categories as they are, scripts as ``IsGreek``."""
+    found = _PROPERTY.match(pattern, position)
+    if not found:
+        raise ValueError(f"incomplete property in regex `{pattern}`")
+    negated, name, letter = found.groups()
+    sign = "P" if (pattern[position + 1] == "P") != bool(negated) else "p"
+    name = letter or name
+    label, _, value = name.partition("=")
+    if value:
+        name = value if label.lower() in ("gc", "general_category") else f"Is{value}"
+    elif not re.fullmatch("[A-Z][a-z]?|L&", name):
+        name = f"Is{name}"
+    return f"\\{sign}{{{name}}}", found.end()
+
+
+def _ends_escape(pattern: str, position: int) -> bool:
+    """Whether the brace before ``position`` closes an escape such as ``\\p{Greek}``."""
+    return bool(re.search(r"\\[pPxuU]\{[^{}]*\}$", pattern[:position]))
+
+
+def _compiled(java: str, pattern: str) -> str:
+    """The pattern, once Java accepts it; without a running session tasks find out."""
+    context = SparkContext._active_spark_context
+    if context is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(java)
+        except IllegalArgumentException as refused:
+            reason = str(refused).splitlines()[0]
+            raise ValueError(f"invalid regex `{pattern}`: {reason}") from None
+    return java
 
 
 def _after_quantifier(pattern: str, position: int) -> bool:

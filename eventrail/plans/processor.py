@@ -435,6 +435,8 @@ class _Compiler:
             fits = fits & (self.base.is_object(container) | ~self.base.present(container))
         text = f"cannot set field `{statement.path}` on a value that is no object"
         error = F.when(~fits, F.lit(text))
+        if statement.value.paths():
+            error = F.coalesce(F.when(~self.base.is_object(), F.lit(NOT_AN_OBJECT)), error)
         if isinstance(statement.value, FieldValue) and statement.value.change is not None:
             source = statement.value.path
             no_text = fields.text(source).isNull()
@@ -443,6 +445,9 @@ class _Compiler:
 
     def _branch(self, statement: If, guard, scope: _Scope, caught) -> None:
         fields = self._fields(statement.condition.paths)
+        if statement.condition.paths:
+            # Reading a field of an event that is no object fails before any branch is taken.
+            self._raise(scope, guard, F.when(~fields.is_object(), F.lit(NOT_AN_OBJECT)))
         taken = F.col(self._add("b", statement.condition.compile(fields)))
         outer = self._alive(guard, scope)
         self.run(statement.then, taken if outer is None else outer & taken, scope, caught)
