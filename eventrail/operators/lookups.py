@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+#: How many times its files' size a table may take in memory.
+COMPRESSION = 20
 SALTS = 32
 
 
@@ -18,9 +18,13 @@ def measured_bytes(df: DataFrame) -> int:
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the table is provably small: by its statistics, else by measuring it."""
+    """Whether the table is provably small: by its statistics, else by measuring it.
+
+    The statistics of a scan are the size of compressed files, so they count as proof only
+    far below the limit.
+    """
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return estimate <= limit or measured_bytes(df) <= limit
+    return estimate * COMPRESSION <= limit or measured_bytes(df) <= limit
 
 
 def lookup_join(
@@ -46,7 +50,3 @@ def lookup_join(
     repeated = lookup.withColumn("__salt", salts)
     joined = salted.join(repeated, [*on, "__salt"], how)
     return joined.drop("__salt")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -6,16 +6,16 @@ its return value is ignored. Rows travel in Arrow batches.
 
 from __future__ import annotations
 
-import copy
 import json
 import shutil
 import tempfile
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from eventrail.plans.processor import DELIVERY_TYPE
 
@@ -55,7 +55,7 @@ def run_one(function: Callable, body: str, request: RequestContext) -> tuple[lis
         emitted.append({"target": target, "event_json": text})
 
     try:
-        function(copy.deepcopy(json.loads(body)), request, emit)
+        function(json.loads(body), request, emit)
     except Exception as error:  # noqa: BLE001 - any failure quarantines the record
         return [], str(error) or type(error).__name__
     return emitted, None
@@ -73,26 +73,32 @@ def ship_package(spark: SparkSession) -> None:
     context._eventrail_shipped = True
 
 
-def process_with_python(df: DataFrame, functions: Mapping[str, Callable]) -> DataFrame:
-    """Add ``deliveries`` and ``processor_error`` by calling each record's function."""
+def call_functions(df: DataFrame, functions: Mapping[str, Callable]) -> DataFrame:
+    """Add ``__called`` (deliveries, processor_error) for the records whose script is a function.
+
+    All records go by in one pass; those of other scripts reach Python as nulls only.
+    """
     ship_package(df.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    schema += f", deliveries {DELIVERY_TYPE}, processor_error string"
     functions = dict(functions)
 
-    def rows(frame: pd.DataFrame) -> Iterator[tuple[list, str | None]]:
-        columns = [frame[name] for name in ("script_key", "body", *_REQUEST)]
-        for script, body, record_id, received, method, path, ip, headers in zip(*columns):
-            known = {k.lower(): v for k, v in dict(headers if headers is not None else {}).items()}
-            request = RequestContext(record_id, int(received), method, path, ip, known)
-            yield run_one(functions[script], body, request)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            results = list(rows(frame))
-            yield frame.assign(
-                deliveries=[deliveries for deliveries, _ in results],
-                processor_error=[error for _, error in results],
-            )
-
-    return df.mapInPandas(run, schema)
+    @F.pandas_udf(f"deliveries {DELIVERY_TYPE}, processor_error string")
+    def call(
+        scripts: pd.Series, bodies: pd.Series, ids: pd.Series, received: pd.Series,
+        methods: pd.Series, paths: pd.Series, ips: pd.Series, headers: pd.Series,
+    ) -> pd.DataFrame:
+        results = []
+        for script, body, *values, names in zip(
+            scripts, bodies, ids, received, methods, paths, ips, headers, strict=True
+        ):
+            if script is None:
+                results.append(([], None))
+                continue
+            record_id, at, method, path, ip = values
+            known = {k.lower(): v for k, v in dict(names if names is not None else {}).items()}
+            request = RequestContext(record_id, int(at), method, path, ip, known)
+            results.append(run_one(functions[script], body, request))
+        return pd.DataFrame(results, columns=["deliveries", "processor_error"])
+
+    mine = F.coalesce(F.col("script_key").isin(list(functions)), F.lit(False))
+    wanted = [F.when(mine, F.col(name)) for name in ("script_key", "body", *_REQUEST)]
+    return df.withColumn("__called", call(*wanted))

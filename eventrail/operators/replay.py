@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from eventrail.functions import jsonx
 from eventrail.functions.fence import compute_once
-from eventrail.operators.lookups import lookup_join, union_all
-from eventrail.operators.python_processor import process_with_python
+from eventrail.operators.lookups import lookup_join
+from eventrail.operators.python_processor import call_functions
 from eventrail.plans.processor import Processor, process
 
 QUARANTINE_SCHEMA = "eventrail.quarantine.v1"
@@ -57,13 +57,18 @@ def plan(
     parsed = jsonx.parse_strict(known, "body")
     declared = {k: p for k, p in processors.items() if isinstance(p, Processor)}
     functions = {k: p for k, p in processors.items() if not isinstance(p, Processor)}
-    if not functions:
-        return _verdict(_described(process(parsed, declared)), sinks, list(processors))
-    by_python = F.coalesce(F.col("script_key").isin(list(functions)), F.lit(False))
-    called = process_with_python(_described(parsed.filter(by_python)), functions)
-    rest = parsed.filter(~by_python)
-    compiled = process(rest, declared) if declared else _unprocessed(rest)
-    return _verdict(union_all([called, _described(compiled)]), sinks, list(processors))
+    if functions:
+        parsed = call_functions(parsed, functions)
+    done = process(parsed, declared) if declared else _unprocessed(parsed)
+    if functions:
+        by_python = F.coalesce(F.col("script_key").isin(list(functions)), F.lit(False))
+        done = done.withColumns(
+            {
+                name: F.when(by_python, F.col(f"__called.{name}")).otherwise(F.col(name))
+                for name in ("deliveries", "processor_error")
+            }
+        ).drop("__called")
+    return _verdict(_described(done), sinks, list(processors))
 
 
 def _described(parsed: DataFrame) -> DataFrame:

@@ -6,8 +6,14 @@ parse the derived JSON, so they check the Spark side independently.
 
 from __future__ import annotations
 
-from eventrail.plans.standard import CURRENCIES, PLATFORMS
-
+# What the standard rules allow, stated here on their own.
+PLATFORMS = ["ios", "android", "harmony", "wechat", "toutiao", "tiktok"]
+CURRENCIES = [
+    "JPY", "EUR", "BRL", "HKD", "TWD", "COP", "MXN", "CHF", "CAD", "CLP", "AUD", "PEN", "GBP",
+    "CRC", "PLN", "PYG", "BOB", "QAR", "ILS", "SEK", "RUB", "CNY", "USD", "ZAR", "SGD", "NZD",
+    "BGN", "LKR", "IQD", "TRY", "AED", "DZD", "EGP", "IDR", "INR", "NGN", "NOK", "PHP", "PKR",
+    "THB", "UAH", "VND",
+]
 _PLATFORM_LIST = ", ".join(PLATFORMS)
 _CURRENCY_LIST = ", ".join(CURRENCIES)
 
@@ -266,6 +272,24 @@ ORACLE_SQL: dict[str, str] = {
     "s_decode_requests": _with(*_ADMIT) + """
 SELECT e AS request_seq, decoder, decode_issue, body_token,
   CASE WHEN decode_issue IS NULL THEN event_text END AS event_text FROM outcome""",
+    "v_regex_dialect": """
+SELECT event_id, w IN (0, 6) AS alpha, w NOT IN (4, 5) AS not_digit, w = 1 AS greek, w = 2 AS han,
+  w IN (3, 6) AS upper, w = 4 AS word_end, w IN (0, 6) AS folded
+FROM (SELECT event_id, event_id % 7 AS w FROM events)""",
+    "v_json_equality": """
+SELECT event_id, w = 0 AS ints, w = 1 AS floats, w = 2 AS nested, w = 4 AS one, w = 5 AS one_float, w = 6 AS empty
+FROM (SELECT event_id, event_id % 10 AS w FROM events)""",
+    "q_non_objects": """
+SELECT CASE p WHEN 0 THEN 'emits' WHEN 1 THEN 'branches' WHEN 2 THEN 'checks' WHEN 3 THEN 'sets' ELSE 'catches' END AS script,
+  outcome, count(*) AS records FROM (
+  SELECT p, unnest(CASE
+    WHEN p = 0 THEN ['events']
+    WHEN p = 1 AND obj THEN ['events', 'events_error']
+    WHEN p IN (2, 3, 4) AND obj THEN ['events']
+    WHEN p = 4 THEN ['events_error']
+    ELSE ['replay_processor_runtime_failed: event is not an object'] END) AS outcome
+  FROM (SELECT (event_id + 1) % 5 AS p, (event_id + 1) % 6 = 5 AS obj FROM events))
+GROUP BY ALL""",
     "s_decode_spelling": """
 SELECT event_id AS request_seq,
   CASE WHEN event_id % 22 = 0 THEN 'ingest_invalid_form' END AS decode_issue,

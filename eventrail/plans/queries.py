@@ -20,7 +20,7 @@ from eventrail.operators import (
     projection,
     replay,
 )
-from eventrail.plans.processor import Emit, Processor, Set, processor
+from eventrail.plans.processor import Emit, Processor, Set, attempt, processor
 from eventrail.plans.processor import Literal as Value
 from eventrail.plans.standard import (
     default_checks,
@@ -231,6 +231,80 @@ def text_rules(spark, folder):
     return df.drop("event", "body")
 
 
+REGEXES = {
+    "alpha": "^[[:alpha:]]+$",
+    "not_digit": "^[^[:digit:]]+$",
+    "greek": r"^\p{Greek}+$",
+    "han": r"^[\p{Han}]+$",
+    "upper": r"^\p{Lu}",
+    "word_end": r"\d$",
+}
+
+
+def regex_dialect(spark, folder):
+    """POSIX classes, scripts and categories, on texts of several alphabets."""
+    e = F.col("event_id")
+    words = F.array(*map(F.lit, ["abc", "αβγ", "漢字", "Été", "x1", "7\n", "ABC"]))
+    body = F.to_json(F.struct(F.get(words, (e % 7).cast("int")).alias("s")))
+    df = jsonx.parse_strict(derived.events(spark, folder).select("event_id", body.alias("body")), "body")
+    for name, pattern in REGEXES.items():
+        df = with_error(df, [Event.field("s").string().matches(pattern)], out=name)
+    folded = Event.field("s").string().ignore_case().matches("^abc$")
+    df = with_error(df, [folded], out="folded")
+    return df.select("event_id", *[F.col(name).isNull().alias(name) for name in [*REGEXES, "folded"]])
+
+
+EQUALS = {
+    "ints": [1, 2],
+    "floats": [1.0, 2],
+    "nested": {"a": [1, {"b": None}], "c": "x"},
+    "one": 1,
+    "one_float": 1.0,
+    "empty": [],
+}
+
+
+def json_equality(spark, folder):
+    """Equality of whole values: by kind and value of every leaf, whatever the key order."""
+    e = F.col("event_id")
+    values = ["[1,2]", "[1.0,2]", '{"c":"x","a":[1,{"b":null}]}', '{"c":"x","a":[1,{}]}', "1", "1.0", "[]", "{}",
+              "[1,2,3]", "null"]
+    value = F.get(F.array(*map(F.lit, values)), (e % 10).cast("int"))
+    body = F.concat(F.lit('{"v":'), value, F.lit("}"))
+    df = jsonx.parse_strict(derived.events(spark, folder).select("event_id", body.alias("body")), "body")
+    conditions = {name: Event.field("v").eq(wanted) for name, wanted in EQUALS.items()}
+    return with_conditions(df, conditions).select("event_id", *EQUALS)
+
+
+NON_OBJECT_PROCESSORS = {
+    "emits": (Emit("events"),),
+    "branches": (Emit("events"), when(Event.field("xwhat").eq("startup"), Emit("events_error"))),
+    "checks": (Event.required("xwhat"), Emit("events")),
+    "sets": (Set("a", Event.field("xwhat").value()), Emit("events")),
+    "catches": (
+        attempt(when(Event.field("xwhat").eq("startup"), Emit("events")), catch=[Emit("events_error")]),
+    ),
+}
+
+
+def non_objects(spark, folder):
+    """Arrays and scalars through every kind of processor: rows per target or reason."""
+    e = F.col("lsn") % 6
+    bodies = F.array(*map(F.lit, ["[1]", '"x"', "7", "null", "true"]))
+    records = derived.record_log(spark, folder).withColumn(
+        "body", F.when(e < 5, F.get(bodies, e.cast("int"))).otherwise('{"xwhat":"startup"}')
+    ).withColumn("project_id", (F.col("lsn") % 5).cast("int"))
+    names = list(NON_OBJECT_PROCESSORS)
+    scripts = spark.createDataFrame(list(enumerate(names)), "project_id int, script_key string")
+    processors = {name: processor(name, *steps) for name, steps in NON_OBJECT_PROCESSORS.items()}
+    planned = replay.plan(records, scripts, processors, SINKS)
+    rows = replay.deliveries(planned).select("project_id", F.col("sink_id").alias("outcome")).unionByName(
+        planned.where("code is not null").select("project_id", F.concat_ws(": ", "code", "message").alias("outcome"))
+    )
+    script = F.get(F.array(*map(F.lit, names)), F.col("project_id"))
+    return rows.groupBy(script.alias("script"), "outcome").agg(F.count("*").alias("records"))
+
+
 def temporal_rules(spark, folder):
     """Order dates spelled well and badly."""
     orders = derived.table(spark, folder, "orders")
@@ -794,6 +868,9 @@ QUERIES: dict[str, Query] = {
     "v_number_limits": number_limits,
     "v_text_rules": text_rules,
     "v_temporal_rules": temporal_rules,
+    "v_regex_dialect": regex_dialect,
+    "v_json_equality": json_equality,
+    "q_non_objects": non_objects,
     "p_loadtest_codes": loadtest_codes,
     "p_enriched_events": enriched_events,
     "p_request_values": request_values,

@@ -20,10 +20,12 @@ from eventrail.plans.rules import RuleBook
 
 # What the standard rules accept.
 PLATFORMS = ["ios", "android", "harmony", "wechat", "toutiao", "tiktok"]
-CURRENCIES = (
-    "JPY EUR BRL HKD TWD COP MXN CHF CAD CLP AUD PEN GBP CRC PLN PYG BOB QAR ILS SEK RUB "
-    "CNY USD ZAR SGD NZD BGN LKR IQD TRY AED DZD EGP IDR INR NGN NOK PHP PKR THB UAH VND"
-).split()
+CURRENCIES = [
+    "JPY", "EUR", "BRL", "HKD", "TWD", "COP", "MXN", "CHF", "CAD", "CLP", "AUD", "PEN", "GBP",
+    "CRC", "PLN", "PYG", "BOB", "QAR", "ILS", "SEK", "RUB", "CNY", "USD", "ZAR", "SGD", "NZD",
+    "BGN", "LKR", "IQD", "TRY", "AED", "DZD", "EGP", "IDR", "INR", "NGN", "NOK", "PHP", "PKR",
+    "THB", "UAH", "VND",
+]
 # Platform -> device ids of which one is needed.
 DEVICE_IDS = {
     ("ios",): ("idfa", "caid"),

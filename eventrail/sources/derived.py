@@ -19,10 +19,8 @@ SCRIPT_KEYS = ["default", "strict", "lost", "loadtest", "enrichment"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One sample table. A file with fewer splits than cores is spread over the cores."""
-    df = configure(spark).read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """One sample table, as its files are split."""
+    return configure(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def _text(*parts) -> Column:
