@@ -563,4 +563,17 @@ SELECT ms // 3600000 * 3600000 AS window_start_ms, u % 5 AS project_id, xwhat, '
     "t_stream_replay": _with(*_REPLAY) + """
 SELECT sink_id, count(*) AS records, CAST(sum(ms) AS BIGINT) AS sent_at_sum FROM delivery GROUP BY 1
 UNION ALL SELECT 'quarantine', count(*), NULL FROM plan WHERE code IS NOT NULL""",
+    "t_latest_reset": _with(*_REPLAY) + """
+SELECT sink_id, count(*) AS records, CAST(sum(ms) AS BIGINT) AS sent_at_sum FROM delivery
+WHERE e + 1 > (SELECT count(*) FROM events) * 2 // 3 GROUP BY 1
+UNION ALL SELECT 'quarantine', count(*), NULL FROM plan
+WHERE code IS NOT NULL AND e + 1 > (SELECT count(*) FROM events) * 2 // 3""",
+    "t_gap_stop": _with(*_REPLAY) + """
+SELECT sink_id, count(*) AS records, CAST(sum(ms) AS BIGINT) AS sent_at_sum, true AS stopped FROM delivery
+WHERE e + 1 < (SELECT count(*) FROM events) // 2 GROUP BY 1
+UNION ALL SELECT 'quarantine', count(*), NULL, true FROM plan
+WHERE code IS NOT NULL AND e + 1 < (SELECT count(*) FROM events) // 2""",
+    "t_bounded_batches": _with(*_REPLAY) + """
+SELECT sink_id, count(*) AS records, min(ms) AS first_sent_at FROM delivery
+GROUP BY sink_id, e // CAST(ceil((SELECT count(*) FROM events) / 4) AS BIGINT)""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -809,39 +810,105 @@ def scalar_functions(spark, folder):
     )
 
 
+class StreamSite:
+    """A log with Parquet sinks that is replayed as a stream, and what came out."""
+
+    def __init__(self, spark, folder, label, reset="earliest"):
+        self.spark, self.folder, self.root = spark, folder, scratch_path(spark, label)
+        columns = [{"name": "sent_at", "path": "xwhen", "type": "integer"}]
+        self.sinks = {
+            name: sink_spec(
+                name, "parquet", {"scheme": "fs", "options": {"root": self.root}},
+                {"path_prefix": "out", "columns": columns}, reset,
+            )
+            for name in SINKS
+        }
+
+    def append(self, records, batch):
+        log.store_batch(records, f"{self.root}/log", batch)
+
+    def replay(self, **limits):
+        """Catch up; the gap that stopped the query, if one did."""
+
+        def load() -> ReplayConfig:
+            scripts = default_scripts(self.spark, self.folder)
+            return ReplayConfig(scripts, {"default": default_processor()}, self.sinks)
+
+        query = replay_stream(
+            self.spark, f"{self.root}/log", f"{self.root}/checkpoint", load,
+            f"{self.root}/quarantine", f"{self.root}/progress", **limits,
+        )
+        try:
+            query.awaitTermination()
+        except StreamingQueryException as stopped:
+            if replay.LSN_GAP_CODE not in str(stopped):
+                raise
+            return True
+        return False
+
+    def delivered(self, name):
+        schema = "sent_at bigint, event_json string, batch string"
+        return self.spark.read.schema(schema).parquet(f"{self.root}/out/{name}")
+
+    def totals(self):
+        counts = [
+            self.delivered(name).agg(
+                F.lit(name).alias("sink_id"), F.count("*").alias("records"),
+                F.sum("sent_at").alias("sent_at_sum"),
+            )
+            for name in ("events", "events_error")
+        ]
+        held = self.spark.read.parquet(f"{self.root}/quarantine").agg(
+            F.lit("quarantine").alias("sink_id"), F.count("*").alias("records"),
+            F.lit(None).cast("bigint").alias("sent_at_sum"),
+        )
+        return counts[0].unionByName(counts[1]).unionByName(held)
+
+
 def stream_replay(spark, folder):
     """The log replayed as a stream into a Parquet sink, read back."""
-    root = scratch_path(spark, "stream")
-    derived.record_log(spark, folder).write.parquet(f"{root}/log/batch=0")
-    sinks = {
-        name: sink_spec(
-            name, "parquet", {"scheme": "fs", "options": {"root": root}},
-            {"path_prefix": "out", "columns": [{"name": "sent_at", "path": "xwhen", "type": "integer"}]},
-        )
-        for name in SINKS
-    }
+    site = StreamSite(spark, folder, "stream")
+    site.append(derived.record_log(spark, folder), 0)
+    site.replay()
+    return site.totals()
 
-    def load() -> ReplayConfig:
-        return ReplayConfig(
-            default_scripts(spark, folder), {"default": default_processor()}, sinks
-        )
 
-    query = replay_stream(
-        spark, f"{root}/log", f"{root}/checkpoint", load, f"{root}/quarantine", f"{root}/progress"
-    )
-    query.awaitTermination()
-    counts = [
-        spark.read.parquet(f"{root}/out/{name}").agg(
-            F.lit(name).alias("sink_id"), F.count("*").alias("records"),
-            F.sum("sent_at").alias("sent_at_sum"),
+def latest_reset(spark, folder):
+    """Replay that starts at the tail: the first two thirds of the log are skipped."""
+    site = StreamSite(spark, folder, "stream", reset="latest")
+    records = derived.record_log(spark, folder)
+    cut = records.count() * 2 // 3
+    site.append(records.where(F.col("lsn") <= cut), 0)
+    site.replay()
+    site.append(records.where(F.col("lsn") > cut), 1)
+    site.replay()
+    return site.totals()
+
+
+def gap_stop(spark, folder):
+    """A lost record stops replay, whatever the size of its batches; all before it is delivered."""
+    site = StreamSite(spark, folder, "stream")
+    records = derived.record_log(spark, folder)
+    lost = records.count() // 2
+    site.append(records.where(F.col("lsn") <= lost // 2), 0)
+    site.append(records.where((F.col("lsn") > lost // 2) & (F.col("lsn") != lost)), 1)
+    stopped = site.replay(batches_per_trigger=1)
+    return site.totals().withColumn("stopped", F.lit(stopped))
+
+
+def bounded_batches(spark, folder):
+    """Replay in four windows of equally many records: what each brought."""
+    site = StreamSite(spark, folder, "stream")
+    records = derived.record_log(spark, folder)
+    site.append(records, 0)
+    site.replay(max_records=-(-records.count() // 4))
+    per = [
+        site.delivered(name).groupBy("batch").agg(
+            F.lit(name).alias("sink_id"), F.count("*").alias("records"), F.min("sent_at").alias("first_sent_at"),
         )
         for name in ("events", "events_error")
     ]
-    held = spark.read.parquet(f"{root}/quarantine").agg(
-        F.lit("quarantine").alias("sink_id"), F.count("*").alias("records"),
-        F.lit(None).cast("bigint").alias("sent_at_sum"),
-    )
-    return counts[0].unionByName(counts[1]).unionByName(held)
+    return per[0].unionByName(per[1]).drop("batch")
 
 
 QUERIES: dict[str, Query] = {
@@ -909,4 +976,7 @@ QUERIES: dict[str, Query] = {
     "f_plain_ids": plain_ids,
     "t_event_rates": event_rates,
     "t_stream_replay": stream_replay,
+    "t_latest_reset": latest_reset,
+    "t_gap_stop": gap_stop,
+    "t_bounded_batches": bounded_batches,
 }

@@ -14,7 +14,7 @@ from tests.frames import records, scripts
 @pytest.fixture(scope="module")
 def stored_log(spark):
     path = scratch_path(spark, "plans")
-    records(spark, *["{}"] * 20).write.parquet(f"{path}/batch=0")
+    log.store_batch(records(spark, *["{}"] * 20), path, 0)
     return log.read_log(spark, path)
 
 
