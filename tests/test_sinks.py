@@ -104,7 +104,12 @@ def test_kafka_frame_and_options(spark):
     sink = sink_spec("events", "kafka", {"bootstrap_servers": "host:1"}, {"topic": "t"})
     row = writers.kafka_frame(deliveries(spark, '{"n":1}'), sink).first()
     assert (row["topic"], bytes(row["value"])) == ("t", b'{"n":1}')
-    assert writers.kafka_options(sink)["kafka.compression.type"] == "snappy"
+    options = writers.kafka_options(sink)
+    assert (options["kafka.compression.type"], options["kafka.linger.ms"]) == ("snappy", "100")
+    patient = sink_spec(
+        "events", "kafka", {"bootstrap_servers": "h", "queue_buffering_max_ms": "250"}, {"topic": "t"}
+    )
+    assert writers.kafka_options(patient)["kafka.linger.ms"] == "250"
     with pytest.raises(writers.SinkFailed):
         writers.write_sink(deliveries(spark, "{}"), sink, "0")
 
@@ -135,6 +140,12 @@ FS = {"scheme": "fs", "options": {"root": "/x"}}
         ("a", "stdout", {}, {"batch": {"max_events": 0}}),
         ("a", "stdout", {}, {"batch": {"timeout": "soon"}}),
         ("a", "blackhole", {}, {"mode": "odd"}), ("a", "stdout", {}, {}, "middle"),
+        ("a", "blackhole", {}, {"mode": "slow"}), ("a", "blackhole", {}, {"delay_ms": 5}),
+        ("a", "stdout", {}, {"batch": {"max_events": -5}}), ("a", "stdout", {}, {"batch": {"max_bytes": "5"}}),
+        ("a", "kafka", {"bootstrap_servers": "h", "batch_num_messages": "7"}, {"topic": "t"}),
+        ("a", "parquet", {"scheme": "memory", "options": {"root": "/x"}}, {"path_prefix": "p"}),
+        ("a", "parquet", {"scheme": "s3", "options": {"bucket": "b", "acl": "x"}}, {"path_prefix": "p"}),
+        ("a", "parquet", {"scheme": "s3", "options": {"root": "/x"}}, {"path_prefix": "p"}),
     ],
 )
 def test_sink_config_errors(args):
@@ -147,6 +158,22 @@ def test_object_store_roots():
     assert writers.parquet_root(sink_spec("k", "parquet", target, {"path_prefix": "p"})) == "s3a://b/r/p/k"
 
 
+def test_object_store_options():
+    options = {"bucket": "b", "endpoint": "e", "region": "r", "access_key_id": "k", "secret_access_key": "s"}
+    sink = sink_spec("k", "parquet", {"scheme": "s3", "options": options}, {"path_prefix": "p"})
+    assert writers.storage_options(sink) == {
+        "fs.s3a.endpoint": "e", "fs.s3a.endpoint.region": "r", "fs.s3a.access.key": "k", "fs.s3a.secret.key": "s",
+    }
+
+
+def test_limits_above_the_window(spark):
+    sink = parquet_sink(spark, batch={"max_events": 5000})
+    writers.write_sink(deliveries(spark, *["{}"] * 5000), sink, "0")
+    stored = spark.read.parquet(writers.parquet_root(sink))
+    assert [r["count"] for r in stored.groupBy("batch_name").count().collect()] == [5000]
+    assert "batch_name=" not in "".join(stored.inputFiles())
+
+
 def test_sinks_are_loaded_from_the_config_tables(spark):
     table = spark.createDataFrame(
         [("b", "stdout", "{}", "{}", "earliest"), ("a", "blackhole", "{}", '{"batch":{"max_events":5}}', None)],
