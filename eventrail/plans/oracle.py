@@ -272,6 +272,21 @@ ORACLE_SQL: dict[str, str] = {
     "s_decode_requests": _with(*_ADMIT) + """
 SELECT e AS request_seq, decoder, decode_issue, body_token,
   CASE WHEN decode_issue IS NULL THEN event_text END AS event_text FROM outcome""",
+    "v_date_formats": """
+SELECT o_orderkey, o_orderkey % 3 <> 0 AS day_of_year, o_orderkey % 3 <> 0 AS named_month,
+  o_orderkey % 3 <> 0 AS american, o_orderkey % 16 BETWEEN 1 AND 12 AS half_day FROM orders""",
+    "p_created_containers": """
+SELECT event_id + 1 AS lsn, CASE (event_id + 1) % 5
+  WHEN 2 THEN '{"made":{"deep":{"value":"POST"},"kept":1}}'
+  WHEN 3 THEN 'cannot set field `made.deep.value` on a value that is no object'
+  WHEN 4 THEN 'cannot set field `made.deep.value` on a value that is no object'
+  ELSE '{"made":{"deep":{"value":"POST"}}}' END AS outcome FROM events""",
+    "k_batched_parquet": _with(*_REPLAY) + """
+, numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY e // 1000 ORDER BY e) AS n FROM delivery WHERE sink_id = 'events'),
+cut AS (SELECT *, (n - 1) // 300 AS chunk FROM numbered)
+SELECT printf('node-node-a-lsn-%016d-%016d-%04d', min(e) + 1, max(e) + 1, chunk) AS batch_name,
+  count(*) AS events, CAST(sum(ms) AS BIGINT) AS sent_at_sum FROM cut GROUP BY e // 1000, chunk""",
     "v_regex_dialect": """
 SELECT event_id, w IN (0, 6) AS alpha, w NOT IN (4, 5) AS not_digit, w = 1 AS greek, w = 2 AS han,
   w IN (3, 6) AS upper, w = 4 AS word_end, w IN (0, 6) AS folded

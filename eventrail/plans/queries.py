@@ -21,7 +21,7 @@ from eventrail.operators import (
     projection,
     replay,
 )
-from eventrail.plans.processor import Emit, Processor, Set, attempt, processor
+from eventrail.plans.processor import Emit, Processor, Request, Set, attempt, processor
 from eventrail.plans.processor import Literal as Value
 from eventrail.plans.standard import (
     default_checks,
@@ -232,6 +232,29 @@ def text_rules(spark, folder):
     return df.drop("event", "body")
 
 
+DATE_FORMATS = {"day_of_year": "%Y-%j", "named_month": "%d %b %Y", "american": "%m/%d/%y"}
+DATE_PATTERNS = {"day_of_year": "yyyy-DDD", "named_month": "dd MMM yyyy", "american": "MM/dd/yy"}
+
+
+def date_formats(spark, folder):
+    """Order dates and times in several spellings; every third text has a digit too many."""
+    o = F.col("o_orderkey")
+    extra = F.when(o % 3 == 0, "0").otherwise("")
+    fields = {
+        name: F.concat(F.date_format("o_orderdate", pattern), extra).alias(name)
+        for name, pattern in DATE_PATTERNS.items()
+    }
+    hour = F.concat(F.lpad((o % 16).cast("string"), 2, "0"), F.lit(":05 "), F.when(o % 2 == 0, "AM").otherwise("PM"))
+    body = F.to_json(F.struct(*fields.values(), hour.alias("half_day")))
+    df = derived.table(spark, folder, "orders").select("o_orderkey", body.alias("body"))
+    df = jsonx.parse_strict(df, "body")
+    checks = {name: Event.field(name).string().date(text) for name, text in DATE_FORMATS.items()}
+    checks["half_day"] = Event.field("half_day").string().time("%I:%M %p")
+    for name, check in checks.items():
+        df = with_error(df, [check], out=name)
+    return df.select("o_orderkey", *[F.col(name).isNull().alias(name) for name in checks])
+
+
 REGEXES = {
     "alpha": "^[[:alpha:]]+$",
     "not_digit": "^[^[:digit:]]+$",
@@ -647,15 +670,35 @@ def python_processor(spark, folder):
     return good.unionByName(bad)
 
 
+def _all_scripts(spark, folder, key):
+    """Every project of the log under one processor."""
+    users = derived.events(spark, folder).select(F.col("user_id").cast("int").alias("project_id"))
+    return users.distinct().withColumn("script_key", F.lit(key))
+
+
 def request_values(spark, folder):
-    """What a processor reads of the request."""
-    records = derived.record_log(spark, folder)
-    headers = F.transform_keys("headers", lambda k, _: F.lower(k))
-    return records.select(
-        "lsn", F.col("remote_addr").alias("ip"), "method", "path",
-        F.col("record_id").alias("request_id"), "received_at_ms",
-        F.try_element_at(headers, F.lit("user-agent")).alias("user_agent"),
-    )
+    """What a processor reads of the request, set as fields of an empty event."""
+    steps = {
+        "ip": Request.ip(), "method": Request.method(), "path": Request.path(),
+        "request_id": Request.request_id(), "received_at_ms": Request.received_at_ms(),
+        "user_agent": Request.header("User-AGENT"),
+    }
+    reader = processor("reader", *[Set(name, value) for name, value in steps.items()], Emit("events"))
+    records = derived.record_log(spark, folder).withColumn("body", F.lit("{}"))
+    planned = replay.plan(records, _all_scripts(spark, folder, "reader"), {"reader": reader}, SINKS)
+    field = {name: F.get_json_object("event_json", f"$.{name}") for name in steps}
+    field["received_at_ms"] = field["received_at_ms"].cast("bigint")
+    return replay.deliveries(planned).select("lsn", *[c.alias(n) for n, c in field.items()])
+
+
+def created_containers(spark, folder):
+    """A rewrite below fields that are missing, null, objects or something else."""
+    kinds = F.array(*map(F.lit, ["{}", '{"made":null}', '{"made":{"kept":1}}', '{"made":7}', '{"made":{"deep":[]}}']))
+    records = derived.record_log(spark, folder).withColumn("body", F.get(kinds, (F.col("lsn") % 5).cast("int")))
+    maker = processor("maker", Set("made.deep.value", Request.method()), Emit("events"))
+    planned = replay.plan(records, _all_scripts(spark, folder, "maker"), {"maker": maker}, SINKS)
+    good = replay.deliveries(planned).select("lsn", F.col("event_json").alias("outcome"))
+    return good.unionByName(planned.where("code is not null").select("lsn", F.col("message").alias("outcome")))
 
 
 # Sinks -----------------------------------------------------------------------
@@ -705,6 +748,21 @@ def parquet_sink(spark, folder):
     return spark.read.parquet(root).drop("batch")
 
 
+def batched_parquet(spark, folder):
+    """Batches of at most 300 events, in windows of 1000 LSNs, read back by their names."""
+    sink = sink_spec(
+        "events", "parquet",
+        {"scheme": "fs", "options": {"root": scratch_path(spark, "parquet-sink")}},
+        {"path_prefix": "out", "columns": PAYMENT_COLUMNS, "batch": {"max_events": 300}},
+    )
+    delivered = replay.deliveries(planned_default(spark, folder)).filter(F.col("sink_id") == "events")
+    write_parquet(delivered, sink, "0")
+    stored = spark.read.parquet(sink.target["options"]["root"] + "/out/events")
+    return stored.groupBy("batch_name").agg(
+        F.count("*").alias("events"), F.sum("sent_at").alias("sent_at_sum")
+    )
+
+
 def kafka_messages(spark, folder):
     sink = sink_spec("events", "kafka", {"bootstrap_servers": "none:0"}, {"topic": "t"})
     delivered = replay.deliveries(planned_default(spark, folder))
@@ -941,6 +999,9 @@ QUERIES: dict[str, Query] = {
     "p_loadtest_codes": loadtest_codes,
     "p_enriched_events": enriched_events,
     "p_request_values": request_values,
+    "p_created_containers": created_containers,
+    "v_date_formats": date_formats,
+    "k_batched_parquet": batched_parquet,
     "p_parquet_projection": parquet_projection,
     "p_projection_violations": projection_violations,
     "p_sink_constants": sink_constants,

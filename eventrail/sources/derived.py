@@ -19,8 +19,14 @@ SCRIPT_KEYS = ["default", "strict", "lost", "loadtest", "enrichment"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One sample table, as its files are split."""
-    return configure(spark).read.parquet(f"{folder}/{name}.parquet")
+    """One sample table, as its files are split.
+
+    The samples are files of one row group, which one task reads. A benchmark may set
+    ``eventrail.sample.partitions`` to deal the rows to that many; nothing else sets it.
+    """
+    df = configure(spark).read.parquet(f"{folder}/{name}.parquet")
+    partitions = spark.conf.get("eventrail.sample.partitions", None)
+    return df.repartition(int(partitions)) if partitions else df
 
 
 def _text(*parts) -> Column:

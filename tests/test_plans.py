@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventrail.operators import log, metrics, replay
+from eventrail.plans.queries import QUERIES
 from eventrail.plans.standard import default_processor, enrichment_processor
 from eventrail.session import scratch_path
 from tests.frames import records, scripts
@@ -65,3 +66,22 @@ def test_large_lookups_are_not_broadcast(spark, stored_log):
     joined = lookup_join(stored_log, nodes.hint("merge"), ["project_id"], spread=spread, limit=0)
     plan = physical(joined)
     assert "BroadcastHashJoin" not in plan and "__salt" in plan
+
+
+@pytest.mark.parametrize("name", ["q_replay_targets", "q_quarantine_codes", "v_default_rule_counts"])
+def test_registered_queries_read_events_once(spark, name):
+    """One scan of the events, one parse of a body, and no round-robin shuffle."""
+    plan = physical(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "RoundRobin" not in plan
+    assert len(re.findall(r"Scan parquet.*Location[^\n]*events.parquet", plan)) <= 1
+    assert plan.count("parseJson(concat(") == 1
+
+
+def test_python_processors_run_in_the_same_pass(spark, stored_log):
+    planned = replay.plan(
+        stored_log, scripts(spark, (1, "p"), (2, "f")),
+        {"p": default_processor(), "f": lambda event, request, emit: emit("events", event)},
+        ["events", "events_error"],
+    )
+    plan = physical(planned)
+    assert plan.count("Scan parquet") <= 1 and plan.count("ArrowEvalPython") == 1 and "Union" not in plan
