@@ -28,6 +28,8 @@ LENGTH = 100
 GRAM = 24
 #: Contexts of one gram that are sorted in one task; grams above it go by single strings.
 GRAM_CONTEXTS = 4096
+#: Crowded grams that may be broadcast, at 16 bytes each; more are joined by a shuffle.
+BROADCAST_GRAMS = 1_000_000
 #: Bytes that are suffix-sorted at once.
 CHUNK = 1 << 20
 _BLOCK = 1 << 17  # strings whose owners are found at once
@@ -273,9 +275,13 @@ def repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, label: s
     resolved = staged(dealt(unique.select("doc", "tie", "text").mapInPandas(cut, _SCHEMA)), label)
     release(spark)
     shared = resolved.where("not gone").select(*_ROW)
-    busy = shared.groupBy("gram").agg(F.count("*").alias("contexts"))
-    sized = shared.join(busy, "gram").select(
-        *place, F.struct("gram", "start", "count", (F.col("contexts") > GRAM_CONTEXTS).alias("busy")).alias("c")
+    counts = shared.groupBy("gram").agg(F.count("*").alias("contexts"))
+    crowd = counts.where(F.col("contexts") > GRAM_CONTEXTS).select("gram", F.lit(True).alias("crowded"))
+    busy = staged(crowd, label)
+    if busy.count() <= BROADCAST_GRAMS:
+        busy = F.broadcast(busy)
+    sized = shared.join(busy, "gram", "left").select(
+        *place, F.struct("gram", "start", "count", F.coalesce("crowded", F.lit(False)).alias("busy")).alias("c")
     )
     wanted = sized.groupBy(*place).agg(F.collect_list("c").alias("contexts"))
 
