@@ -31,7 +31,7 @@ GRAM_CONTEXTS = 4096
 #: Crowded grams that may be broadcast, at 16 bytes each; more are joined by a shuffle.
 BROADCAST_GRAMS = 1_000_000
 #: Bytes that are suffix-sorted at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BLOCK = 1 << 17  # strings whose owners are found at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
@@ -283,18 +283,23 @@ def repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, label: s
     sized = shared.join(busy, "gram", "left").select(
         *place, F.struct("gram", "start", "count", F.coalesce("crowded", F.lit(False)).alias("busy")).alias("c")
     )
-    wanted = sized.groupBy(*place).agg(F.collect_list("c").alias("contexts"))
+    # Parallel arrays reach Python as numpy arrays, not as an object per context.
+    wanted = sized.groupBy(*place).agg(F.collect_list("c").alias("c")).select(
+        *place, *[F.col(f"c.{name}").alias(name) for name in ("gram", "start", "count", "busy")]
+    )
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["gram", "doc", "tie", "start", "busy", "data"]
         for batch in batches:
-            out = []
-            for doc, tie, text, contexts in batch[["doc", "tie", "text", "contexts"]].itertuples(index=False):
-                data = text.encode("utf-8", "replace")
-                for c in contexts:
-                    end = c["start"] + c["count"] + length - 1
-                    out.append((c["gram"], doc, tie, c["start"], c["busy"], data[c["start"] : end]))
-            yield pd.DataFrame(out, columns=names)
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
+                sizes = part["start"].map(len)
+                data = []
+                for text, starts, counts in zip(part["text"], part["start"], part["count"], strict=True):
+                    whole = text.encode("utf-8", "replace")
+                    data += [whole[a : a + n + length - 1] for a, n in zip(starts, counts, strict=True)]
+                flat = {name: np.concatenate(part[name].tolist()) for name in ("gram", "start", "busy")}
+                own = {name: np.repeat(part[name].to_numpy(), sizes) for name in place}
+                yield pd.DataFrame({**flat, **own, "data": data})[["gram", *place, "start", "busy", "data"]]
 
     texts = staged(
         unique.select("doc", "tie", "text")
@@ -336,11 +341,10 @@ def repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, label: s
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Every string of the contexts on its own, by a 128-bit hash."""
         for batch in batches:
-            for at in range(0, len(batch), 4096):
+            for at in range(0, len(batch), 512):
                 out = []
-                for doc, tie, start, data in batch[["doc", "tie", "start", "data"]].iloc[at : at + 4096].itertuples(
-                    index=False
-                ):
+                part = batch[["doc", "tie", "start", "data"]].iloc[at : at + 512]
+                for doc, tie, start, data in part.itertuples(index=False):
                     for n, window in enumerate(sliding_window_view(np.frombuffer(data, np.uint8), length)):
                         both = xxhash.xxh3_128_digest(window.tobytes())
                         out.append((both, doc, tie, start + n))
@@ -365,21 +369,18 @@ def repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, label: s
     listed = gone.groupBy(*place).agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
-    def merged(parts: pd.Series) -> pd.Series:
+    def merged(starts: pd.Series, counts: pd.Series) -> pd.Series:
         out = []
-        for part in parts:
-            if part is None or not len(part):
-                out.append([])
-                continue
-            ends = np.array([(r["start"], r["start"] + r["count"] + length - 1) for r in part], np.int64)
-            ends = ends[np.argsort(ends[:, 0], kind="stable")]
-            reach = np.maximum.accumulate(ends[:, 1])
-            new = np.flatnonzero(np.append(True, ends[1:, 0] > reach[:-1]))
-            stop = reach[np.append(new[1:], len(ends)) - 1]
-            out.append([{"start": int(a), "end": int(b)} for a, b in zip(ends[new, 0], stop, strict=True)])
+        for start, count in zip(starts, counts, strict=True):
+            order = np.argsort(start, kind="stable")
+            start, end = start[order], (start + count + length - 1)[order]
+            reach = np.maximum.accumulate(end)
+            new = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
+            stop = reach[np.append(new[1:], len(start)) - 1]
+            out.append([{"start": a, "end": b} for a, b in zip(start[new].tolist(), stop.tolist(), strict=True)])
         return pd.Series(out)
 
-    runs = listed.select(*place, merged("ranges").alias("gone"))
+    runs = listed.select(*place, merged("ranges.start", "ranges.count").alias("gone"))
     return rows.join(runs, place, "left").select(key, "text", F.coalesce("gone", F.array()).alias("gone"))
 
 
@@ -421,13 +422,13 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
 
     @F.pandas_udf("string")
-    def kept(texts: pd.Series, runs: pd.Series) -> pd.Series:
+    def kept(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         out = []
-        for text, gone in zip(texts, runs, strict=True):
+        for text, start, end in zip(texts, starts, ends, strict=True):
             data, digest, at = text.encode("utf-8", "replace"), hashlib.sha256(), 0
-            for run in gone:
-                digest.update(data[at : run["start"]])
-                at = run["end"]
+            for a, b in zip(start, end, strict=True):
+                digest.update(data[at:a])
+                at = b
             digest.update(data[at:])
             out.append(digest.hexdigest())
         return pd.Series(out)
@@ -438,5 +439,5 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("text").cast("long").alias("n_bytes"),
         removed.alias("n_removed"),
         F.size("gone").cast("long").alias("n_spans"),
-        kept("text", "gone").alias("kept_sha256"),
+        kept("text", "gone.start", "gone.end").alias("kept_sha256"),
     )
