@@ -27,13 +27,15 @@ class Layout:
     """Where the turns of one kind of record are.
 
     ``turns``: (role, path) of single fields in order; or ``items``: an array with the paths
-    of role and text in its elements. Optional paths may be absent from a record.
+    of role and text in its elements. Optional paths may be absent from a record. ``renamed``
+    lists roles that the template spells in another way.
     """
 
     name: str
     turns: tuple[tuple[str, str], ...] = ()
     items: tuple[str, str, str] | None = None
     optional: tuple[str, ...] = ()
+    renamed: tuple[tuple[str, str], ...] = ()
 
     @property
     def paths(self) -> list[str]:
@@ -51,7 +53,11 @@ class Layout:
 
 LAYOUTS = (
     Layout("messages", items=("messages", "role", "content")),
-    Layout("shared", items=("conversations", "from", "value")),
+    Layout(
+        "shared",
+        items=("conversations", "from", "value"),
+        renamed=(("human", "user"), ("gpt", "assistant"), ("bot", "assistant")),
+    ),
     Layout("prompt", turns=(("user", "prompt"), ("assistant", "completion"))),
     Layout(
         "guided",
@@ -63,8 +69,6 @@ LAYOUTS = (
         optional=("input",),
     ),
 )
-#: Role names of other layouts, as the template spells them.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 
 
 def _filled(field: T.StructField, column: Column, path: str) -> list[Column]:
@@ -94,8 +98,14 @@ def fingerprint(records: DataFrame, ignore: tuple[str, ...]) -> Column:
 def _turns(layout: Layout) -> Column:
     if layout.items:
         array, role, text = layout.items
+
+        def named(found: Column) -> Column:
+            for old, new in layout.renamed:
+                found = F.when(found == old, new).otherwise(found)
+            return found
+
         return F.transform(
-            F.col(array), lambda t: F.struct(t[role].alias("role"), t[text].alias("text"))
+            F.col(array), lambda t: F.struct(named(t[role]).alias("role"), t[text].alias("text"))
         ).cast(TURNS)
     fields = [
         F.when(F.col(path).isNotNull(), F.struct(F.lit(role).alias("role"), F.col(path).alias("text")))
@@ -125,11 +135,10 @@ def canonical(
         chosen = _answers(layout)
         names = F.when(chosen, F.lit(layout.name)).otherwise(names)
         turns = F.when(chosen, _turns(layout)).otherwise(turns)
-    roles = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     tidy = F.transform(
         turns,
         lambda t: F.struct(
-            F.coalesce(F.try_element_at(roles, F.coalesce(t["role"], F.lit(""))), t["role"], F.lit("")).alias("role"),
+            F.coalesce(t["role"], F.lit("")).alias("role"),
             F.coalesce(t["text"], F.lit("")).alias("text"),
         ),
     )
