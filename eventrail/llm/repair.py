@@ -46,22 +46,51 @@ _HASH = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = 18
 
 
+def _words(text: bytes) -> list[bytes]:
+    """The words of a text, those of ASCII lower-cased unless they may hold an added token."""
+    if b"<|" not in text:
+        if text.isascii():
+            return text.lower().split()
+        return [w.lower() if w.isascii() else w for w in text.split()]
+    return [w.lower() if w.isascii() and b"<|" not in w else w for w in text.split()]
+
+
 class WordEncoder:
     """Encodes whole texts, each distinct word once.
 
     The vocabulary's tokenizer lower-cases, drops white space and never joins what white space
-    separates, so the ids of a text are those of its words in order. ASCII letters are
-    lowered first, which changes no ids and leaves fewer words.
+    separates, so the ids of a text are those of its words in order. Words of ASCII are
+    lowered first, which leaves fewer words and changes no ids: others stay as they are, as a
+    capital may compose with no mark where its small letter does, and so do words that could
+    hold an added token, which is spelled in small letters.
     """
 
     def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.known: dict[bytes, bytes] = {}
+        self.ending: dict[str, bool] = {}
         spelled = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closing = np.zeros(max(spelled.values()) + 1, bool)
         self.closing[[n for token, n in spelled.items() if token.endswith("</w>")]] = True
 
+    def _ends_in_letter(self, stem: bytes) -> bool:
+        """Whether a mark after the stem begins a match of its own, by the tokenizer itself.
+
+        What counts is the last character once normalized: some letters become a letter and a
+        mark, which would form one match with the marks after it.
+        """
+        if 97 <= stem[-1] <= 122:
+            return True
+        last = stem.decode()
+        if not last[-1].isalpha():
+            return False
+        last = self.tokenizer.normalizer.normalize_str(last)[-1]
+        if last not in self.ending:
+            apart = self.tokenizer.pre_tokenizer.pre_tokenize_str(last + ".")
+            self.ending[last] = last.isalpha() and len(apart) == 2
+        return self.ending[last]
+
     def _learn(self, words: set[bytes]) -> None:
         """Ids of new words. Marks at the end of a word are split off and shared by all words.
 
@@ -72,8 +101,7 @@ class WordEncoder:
         known, stems = self.known, {}
         for word in words:
             stem = word.rstrip(_MARKS)
-            last = stem.decode()[-1:]
-            if stem != word and last.isalpha() and last != _DOTTED:
+            if stem != word and stem and self._ends_in_letter(stem):
                 stems[word] = stem
         needed = words.difference(stems)
         needed.update(stems.values(), (w[len(s) :] for w, s in stems.items()))
@@ -102,7 +130,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, the end id last."""
-        split = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+        split = [_words((t or "").encode("utf-8", "replace")) for t in texts]
         unknown = set().union(*split).difference(self.known)
         if unknown:
             if len(self.known) + len(unknown) > CACHE_WORDS:

@@ -255,6 +255,19 @@ def test_word_encoder_agrees_with_the_tokenizer():
             assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_word_encoder_keeps_marks_capitals_and_added_tokens():
+    """Letters that normalize to a letter and a mark, capitals that compose otherwise, added tokens."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        vocabulary = file.read()
+    plain, words = Tokenizer.from_str(vocabulary), repair.WordEncoder(vocabulary)
+    cases = ["\u092a\u0939\u093e\u095c. x", "\u05d0\ufb1d!", "<|ENDOFTEXT|> <|EndOfText|>", "A<|endoftext|>B."]
+    cases += ["H\u0331a", "xT\u0308. y", "Y\u030a", "<|endoftext|>.", "Stra\u00dfe. \u0421\u043b\u043e\u0432\u043e."]
+    starts = [n for n in range(0xA0, 0x20000) if chr(n).isalpha() and not 0x3400 <= n < 0xD7A4]
+    cases += [f"a{chr(n)}." for n in starts]
+    for text, ids in zip(cases, words.encode(cases), strict=True):
+        assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1], ascii(text)
+
+
 def test_containers_decode_any_stretch():
     rng = np.random.default_rng(9)
     for ids in (
