@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from eventrail.llm import chat, decontaminate, projections, secrets
+from eventrail.llm import chat, decontaminate, lines, projections, secrets
 from eventrail.llm.bpe import op8_bpe
 from eventrail.llm.chat import op1_chat
 from eventrail.llm.decontaminate import op5_decontaminate
 from eventrail.llm.interleave import op2_interleave
+from eventrail.llm.lines import op13_lines
 from eventrail.llm.neighbours import op9_neighbours
 from eventrail.llm.projections import op10_projections
 from eventrail.llm.repair import op4_repair
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_neighbours": op9_neighbours,
     "op10_projections": op10_projections,
+    "op13_lines": op13_lines,
 }
 
 ORACLE_SQL = {
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op3_secrets": secrets.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
     "op10_projections": projections.ORACLE_SQL,
+    "op13_lines": lines.ORACLE_SQL,
 }
