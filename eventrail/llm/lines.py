@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +29,9 @@ LEAST_DOCS = 3
 SHARD_KEYS = 1 << 16
 #: Cells that each shard's lines are dealt to, so that a shard with a frequent line is many tasks.
 SALTS = 32
-BLANKS = " \t\n\x0b\x0c\r"
+BLANKS = b" \t\n\x0b\x0c\r"
 
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SLOTS = 4
 _KICKS = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -122,15 +123,28 @@ class LineIndex:
     least_chars: int
 
 
-def _line_keys(text: Column, least_chars: int) -> Column:
-    """For each line, 128 bits of its key; null where the key is short."""
+def line_keys(text: str | None, least_chars: int) -> Iterator[tuple[int, bytes]]:
+    """(position, 128 bits of the key) of the lines whose key is long enough."""
+    for place, line in enumerate((text or "").encode("utf-8", "replace").translate(_LOWER).split(b"\n")):
+        key = line.strip(BLANKS)
+        if len(key) >= least_chars and (key.isascii() or len(key.decode()) >= least_chars):
+            yield place, xxhash.xxh3_128_digest(key)
 
-    def hashed(line: Column) -> Column:
-        key = F.translate(F.btrim(line, F.lit(BLANKS)), ascii_uppercase, ascii_lowercase)
-        pair = F.struct(F.xxhash64(key).alias("k1"), F.xxhash64(F.lit("line"), key).alias("k2"))
-        return F.when(F.char_length(key) >= least_chars, pair)
 
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), hashed)
+def _lines(rows: DataFrame, names: list[str], least_chars: int) -> DataFrame:
+    """``rows(*names, doc, text)`` by line: names, doc (the doc_id as text), pos, k1, k2."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [list(line_keys(text, least_chars)) for text in batch["text"]]
+            many = [len(f) for f in found]
+            out = {c: np.repeat(batch[c].to_numpy(), many) for c in [*names, "doc"]}
+            out["pos"] = np.array([place for f in found for place, _ in f], np.int32)
+            keys = np.frombuffer(b"".join(key for f in found for _, key in f), "<i8").reshape(-1, 2)
+            yield pd.DataFrame({**out, "k1": keys[:, 0], "k2": keys[:, 1]})
+
+    kinds = "".join(f"{c} long, " for c in names) + "doc string, pos int, k1 long, k2 long"
+    return rows.select(*names, "doc", "text").mapInPandas(split, kinds)
 
 
 def _shard(shards: int) -> Column:
@@ -139,8 +153,8 @@ def _shard(shards: int) -> Column:
 
 def _references(docs: DataFrame, least_chars: int) -> DataFrame:
     """(k1, k2, doc_id), once for each key of a document."""
-    keys = docs.select("doc_id", F.explode(_line_keys(F.col("text"), least_chars)).alias("key"))
-    return keys.where("key is not null").select("key.k1", "key.k2", "doc_id").distinct()
+    keys = _lines(docs.select(F.col("doc_id").cast("string").alias("doc"), "text"), [], least_chars)
+    return keys.select("k1", "k2", F.col("doc").cast("long").alias("doc_id")).distinct()
 
 
 def _counted(refs: DataFrame) -> DataFrame:
@@ -249,7 +263,7 @@ def delete(index: LineIndex, ids: DataFrame, label: str = "lines") -> LineIndex:
 
 
 def _let_through(index: LineIndex, lines: DataFrame) -> DataFrame:
-    """The rows of ``lines(r1, r2, doc_id, pos, k1, k2)`` whose key a filter may hold.
+    """The rows of ``lines(r1, r2, doc, pos, k1, k2)`` whose key a filter may hold.
 
     Each cell gets its shard's filter as its first row, so a task holds one filter at a time.
     """
@@ -259,7 +273,7 @@ def _let_through(index: LineIndex, lines: DataFrame) -> DataFrame:
     zero = {c: F.lit(0).cast("long") for c in ("r1", "r2", "k1", "k2")}
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     copies = index.filters.withColumns({**zero, "doc": F.lit(None).cast("string"), "pos": F.lit(0), "salt": salts})
-    asked = asked.select(*zero, F.col("doc_id").cast("string").alias("doc"), "pos", "shard", "salt")
+    asked = asked.select(*zero, "doc", "pos", "shard", "salt")
     cells = copies.unionByName(asked.withColumn("data", F.lit(None).cast("binary")))
     columns = ["r1", "r2", "doc", "pos", "k1", "k2"]
 
@@ -300,8 +314,8 @@ def dedup(index: LineIndex, docs: DataFrame) -> DataFrame:
     ]
     passed = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "dedup"]).alias("row")
     rows = docs.select(passed, text.alias("text"), *named)
-    keys = docs.select(*named, "doc_id", F.posexplode(_line_keys(F.col("text"), index.least_chars)).alias("pos", "key"))
-    lines = keys.where("key is not null").select("r1", "r2", "doc_id", "pos", "key.k1", "key.k2")
+    named_rows = docs.select(*named, F.col("doc_id").cast("string").alias("doc"), "text")
+    lines = _lines(named_rows, ["r1", "r2"], index.least_chars)
     often = index.counts.where(F.col("docs") >= index.least_docs).select("k1", "k2", "last")
     gone = (
         _let_through(index, lines)
