@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventrail.llm import chat, decontaminate, lines, projections, secrets
+from eventrail.llm import chat, decontaminate, lines, projections, ranked, secrets
 from eventrail.llm.bpe import op8_bpe
 from eventrail.llm.chat import op1_chat
 from eventrail.llm.decontaminate import op5_decontaminate
@@ -10,10 +10,12 @@ from eventrail.llm.interleave import op2_interleave
 from eventrail.llm.lines import op13_lines
 from eventrail.llm.neighbours import op9_neighbours
 from eventrail.llm.projections import op10_projections
+from eventrail.llm.ranked import op12_ranked
 from eventrail.llm.repair import op4_repair
 from eventrail.llm.secrets import op3_secrets
 from eventrail.llm.simhash import op7_simhash
 from eventrail.llm.suffixes import op6_suffixes
+from eventrail.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_chat": op1_chat,
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_neighbours": op9_neighbours,
     "op10_projections": op10_projections,
+    "op11_whitening": op11_whitening,
+    "op12_ranked": op12_ranked,
     "op13_lines": op13_lines,
 }
 
@@ -34,5 +38,6 @@ ORACLE_SQL = {
     "op3_secrets": secrets.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
     "op10_projections": projections.ORACLE_SQL,
+    "op12_ranked": ranked.ORACLE_SQL,
     "op13_lines": lines.ORACLE_SQL,
 }
