@@ -29,8 +29,10 @@ ships_with_tasks(__name__)
 
 TOP = 20
 #: Documents and postings in a block of the index.
-BLOCK_DOCS = 4096
-BLOCK_POSTINGS = 1 << 20
+BLOCK_DOCS = 1024
+BLOCK_POSTINGS = 1 << 18
+#: A pair keeps its list where the joint bound is below this share of the sum of both terms' own.
+TIGHTER = 0.95
 #: Bytes of query texts that are broadcast at once; more queries take several passes.
 QUERY_BYTES = 4 << 20
 
@@ -147,9 +149,10 @@ def postings(docs: DataFrame, vocabulary: dict[bytes, int], block_docs: int = BL
 
 
 def impacts(blocks: DataFrame, weights: np.ndarray, pairs: np.ndarray, full: int, words: int) -> DataFrame:
-    """The blocks with weighted impacts, and for each pair the documents with both terms.
+    """The blocks with weighted impacts, and for pairs the documents with both terms.
 
-    most: the largest impact of each term; pair_most: that of both together, in any document.
+    most: the largest impact of each term; pair_most: that of both together, in any document. A pair
+    whose joint maximum is hardly below the sum of the two has no list (size -1).
     """
     shared = blocks.sparkSession.sparkContext.broadcast((weights, pairs))
 
@@ -167,6 +170,7 @@ def impacts(blocks: DataFrame, weights: np.ndarray, pairs: np.ndarray, full: int
                     most[terms] = np.maximum.reduceat(impact, starts)
                 held = dict(zip(terms.tolist(), _lists(sizes, place, impact), strict=True))
                 pair_most = np.maximum(most[wanted[:, 0]], most[wanted[:, 1]])
+                loose = TIGHTER * (most[wanted[:, 0]] + most[wanted[:, 1]])
                 pair_sizes = np.zeros(len(wanted), np.int32)
                 both_places, both_impacts = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
                 column = np.zeros(len(m), np.int64)
@@ -185,8 +189,11 @@ def impacts(blocks: DataFrame, weights: np.ndarray, pairs: np.ndarray, full: int
                     hit = there[at]
                     if hit.any():
                         at, joint = at[hit], own[hit] + column[at[hit]]
-                        pair_sizes[n] = len(at)
                         pair_most[n] = max(pair_most[n], joint.max())
+                        if pair_most[n] > loose[n]:
+                            pair_sizes[n] = -1
+                            continue
+                        pair_sizes[n] = len(at)
                         both_places.append((n, at))
                         both_impacts.append((n, joint))
                 both_places = [x for _, x in sorted(both_places[1:], key=lambda p: p[0])] or both_places[:1]
@@ -219,7 +226,8 @@ class Block:
         self.lists = dict(zip(terms.tolist(), _lists(sizes, places, found), strict=True))
         sizes = np.frombuffer(row.pair_sizes, "<i4")
         places, found = np.frombuffer(row.pair_places, "<u2"), np.frombuffer(row.pair_impacts, "<i8")
-        self.pairs = _lists(sizes, places, found)
+        self.pairs = _lists(np.maximum(sizes, 0), places, found)
+        self.listed = sizes >= 0
         self.most, self.pair_most = np.frombuffer(row.most, "<i8"), np.frombuffer(row.pair_most, "<i8")
 
     def _single(self, term: int, at: np.ndarray) -> np.ndarray:
@@ -229,7 +237,7 @@ class Block:
         """What a pair of the query adds to the documents ``at``."""
         left, right = int(query.left[unit]), int(query.right[unit])
         times, other = int(query.times_left[unit]), int(query.times_right[unit])
-        if right >= 0 and times == other:
+        if right >= 0 and times == other and self.listed[query.pair[unit]]:
             places, joint = self.pairs[query.pair[unit]]
             out = times * _looked_up(places, joint, at)
             rest = np.flatnonzero(out == 0)

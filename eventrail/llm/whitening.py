@@ -57,7 +57,7 @@ def _stored(vectors: DataFrame, key: str, column: str, label: str) -> tuple[Data
             for at in range(0, len(batch), step):
                 part = batch.iloc[at : at + step]
                 scaled = np.floor(SCALE * np.stack(part["entries"].to_numpy()).astype(np.float64)).reshape(-1, d)
-                if len(scaled) and d and np.abs(scaled).max() >= 1 << 52:
+                if len(scaled) and np.abs(scaled).max() >= 1 << 52:
                     raise OverflowError("an entry is too large for whole numbers")
                 yield pd.DataFrame(
                     {
@@ -67,7 +67,7 @@ def _stored(vectors: DataFrame, key: str, column: str, label: str) -> tuple[Data
                     }
                 )
 
-    packed = rows.where(F.size(column) == d).select(
+    packed = rows.where((F.size(column) == d) & (F.size(column) > 0)).select(
         F.coalesce(F.col(key), F.lit(0)).cast("long").alias("id"), F.col(key).isNull().alias("unnamed"), entry.alias("entries")
     )
     return staged(packed.mapInPandas(pack, BLOCKS), label), d
