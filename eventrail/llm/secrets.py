@@ -48,7 +48,7 @@ BASE = (
     Rule("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
 )
 ADDED = (
-    Rule("pem", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
 )
 
@@ -295,7 +295,7 @@ def _oracle() -> str:
          "[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 6),
         ("access", "(AKIA[A-Z0-9]+)", 1, 20),
         ("hex", "([0-9a-f]+)", 1, 24),
-        ("pem", "(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----)", 1, 1),
+        ("pem", "(-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----)", 1, 1),
         ("forge", "(gh[pousr]_[A-Za-z0-9]+)", 1, 40),
     )
     parts = []

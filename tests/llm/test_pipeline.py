@@ -7,7 +7,8 @@ import corpus_pipeline
 from eventrail.llm import bpe, neighbours
 from eventrail.llm.common import table
 from tests.llm.frames import awkward, rows_of
-from tests.llm.test_brute_force import plain_components, plain_fingerprint
+from tests.llm.test_brute_force import plain_components
+from tests.llm.test_shingles import plain_set
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: The patterns of the base kinds, their lengths, and those of the added kinds.
@@ -15,7 +16,7 @@ SECRETS = (
     (r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     (r"AKIA[A-Z0-9]+", 0, 20),
     (r"[0-9a-f]+", 0, 24),
-    (r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", 0, 1),
+    (r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", 0, 1),
     (r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
 )
 
@@ -42,8 +43,10 @@ def plain(spark, folder):
     rows = docs.orderBy("doc_id").collect()
     scores = model.scores([r["text"] for r in rows])
     kept = [r for r, s in zip(rows, scores, strict=True) if s >= 0.3]
-    codes = [plain_fingerprint(r["text"] or "") for r in kept]
-    parts = plain_components([r["doc_id"] for r in kept], lambda x, y: (codes[x] ^ codes[y]).bit_count() <= 3)
+    sets = [plain_set(r["text"]) for r in kept]
+    parts = plain_components(
+        [r["doc_id"] for r in kept], lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
+    )
     kept = [r for r, p in zip(kept, parts, strict=True) if r["doc_id"] == p]
     grams = set()
     for item in table(spark, folder, "benchmark").collect():
