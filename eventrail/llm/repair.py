@@ -15,15 +15,18 @@ import sys
 import zlib
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from eventrail.llm.common import ships_with_tasks, table
 from eventrail.session import scratch_path
@@ -34,9 +37,13 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Ids that close a shard (a longer document fills one alone), and how often a pair must occur.
 SHARD_IDS = 1 << 20
-FREQUENT = 32
-#: Words whose ids a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 400_000
+FREQUENT = 8
+#: Rounds in a row, each with another hash, that must shorten a shard by less than this share to end.
+IDLE_ROUNDS = 3
+LEAST_GAIN = 0.005
+#: Words whose ids a worker remembers, and code points of texts that are encoded at once.
+CACHE_WORDS = 800_000
+BATCH_CHARS = 4_000_000
 
 _HEAD = "<4sIQII"  # magic, documents, ids, rules, symbols
 _MAGIC = b"RPG1"
@@ -46,33 +53,57 @@ _HASH = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = 18
 
 
-def _words(text: bytes) -> list[bytes]:
-    """The words of a text, those of ASCII lower-cased unless they may hold an added token."""
-    if b"<|" not in text:
-        if text.isascii():
-            return text.lower().split()
-        return [w.lower() if w.isascii() else w for w in text.split()]
-    return [w.lower() if w.isascii() and b"<|" not in w else w for w in text.split()]
+def _lowered(text: bytes) -> bytes:
+    """The text with its words of ASCII lower-cased, unless they may hold an added token."""
+    if b"<|" in text:
+        return b" ".join(w.lower() if w.isascii() and b"<|" not in w else w for w in text.split())
+    # Without marks that could join a letter of ASCII, its case matters nowhere.
+    if b"\xcc" in text or b"\xcd" in text:
+        return b" ".join(w.lower() if w.isascii() else w for w in text.split())
+    return text.lower()
+
+
+def _split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of all texts, which one each word is, and the number of words of each text."""
+    listed = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+    found = listed.flatten().cast(pa.large_binary()).dictionary_encode()
+    words, of = found.dictionary.to_pylist(), found.indices.to_numpy()
+    many = np.diff(listed.offsets.to_numpy())
+    if b"" in words:  # around the white space at the ends of a text
+        whole = of != words.index(b"")
+        many = np.diff(np.append(0, np.cumsum(whole))[np.append(0, np.cumsum(many))])
+        of = of[whole]
+    return words, of, many
 
 
 class WordEncoder:
-    """Encodes whole texts, each distinct word once.
+    """Encodes whole texts, each distinct word once as long as it is remembered.
 
     The vocabulary's tokenizer lower-cases, drops white space and never joins what white space
     separates, so the ids of a text are those of its words in order. Words of ASCII are
-    lowered first, which leaves fewer words and changes no ids: others stay as they are, as a
-    capital may compose with no mark where its small letter does, and so do words that could
-    hold an added token, which is spelled in small letters.
+    lowered first, which leaves fewer words and changes no ids: others stay as they are where a
+    mark follows that a capital may compose with otherwise than its small letter, and so do
+    words that could hold an added token, which is spelled in small letters.
+
+    Ids of all words lie in one array; a word is a slot, that is a stretch of it. When too many are
+    remembered, those that were used once since the last time go.
     """
 
-    def __init__(self, vocabulary: str) -> None:
+    def __init__(self, vocabulary: str, cache_words: int = CACHE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.known: dict[bytes, bytes] = {}
+        # Small letters of ASCII are one match each word, and stay as they are.
+        self.letters = Tokenizer.from_str(vocabulary)
+        self.letters.normalizer, self.letters.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.ending: dict[str, bool] = {}
         spelled = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closing = np.zeros(max(spelled.values()) + 1, bool)
         self.closing[[n for token, n in spelled.items() if token.endswith("</w>")]] = True
+        self.cache_words = cache_words
+        # Slot 0 is the end of a document.
+        self.slots: dict[bytes, int] = {b"": 0}
+        self.begins, self.sizes, self.uses = (np.array(x, np.int64) for x in ([0], [1], [2]))
+        self.flat = np.array([END_ID], np.uint32)
 
     def _ends_in_letter(self, stem: bytes) -> bool:
         """Whether a mark after the stem begins a match of its own, by the tokenizer itself.
@@ -91,6 +122,38 @@ class WordEncoder:
             self.ending[last] = last.isalpha() and len(apart) == 2
         return self.ending[last]
 
+    def _stretches(self, slots: np.ndarray) -> np.ndarray:
+        """The ids of the slots, one after the other."""
+        sizes = self.sizes[slots]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.begins[slots] - (ends - sizes), sizes) + np.arange(total)]
+
+    def _remember(self, words: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """New slots for the words, whose ids follow one another."""
+        first = len(self.begins)
+        self.slots.update(zip(words, range(first, first + len(words)), strict=True))
+        self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _forget(self) -> None:
+        """Keep the words used twice or more; of too many, the half that is used most."""
+        least = 2
+        if (self.uses >= least).sum() > self.cache_words // 2:
+            least = max(2, int(np.partition(self.uses, -(self.cache_words // 2))[-(self.cache_words // 2)]))
+        keep = self.uses >= least
+        keep[0] = True
+        number = np.cumsum(keep) - 1
+        left = np.flatnonzero(keep)
+        self.flat = self._stretches(left)
+        self.slots = {w: n for w, n in zip(self.slots, number.tolist(), strict=True) if keep[self.slots[w]]}
+        self.sizes = self.sizes[left]
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.uses = np.zeros(len(left), np.int64)
+        self.uses[0] = 2
+
     def _learn(self, words: set[bytes]) -> None:
         """Ids of new words. Marks at the end of a word are split off and shared by all words.
 
@@ -98,47 +161,65 @@ class WordEncoder:
         of letters is one match, whose last id is the only one that closes a word. So words of
         letters are encoded together and told apart by closing ids; all others go alone.
         """
-        known, stems = self.known, {}
+        marked, stems, marks, needed = [], [], [], set()
         for word in words:
             stem = word.rstrip(_MARKS)
-            if stem != word and stem and self._ends_in_letter(stem):
-                stems[word] = stem
-        needed = words.difference(stems)
-        needed.update(stems.values(), (w[len(s) :] for w, s in stems.items()))
-        needed.difference_update(known)
-        plain, other = [], []
+            if stem is word or not stem or not self._ends_in_letter(stem):
+                needed.add(word)
+            else:
+                marked.append(word)
+                stems.append(stem)
+                marks.append(word[len(stem) :])
+        needed.update(stems, marks)
+        known = self.slots
+        small, plain, other = [], [], []
         for word in needed:
-            text = word.decode()
-            (plain if text.isalpha() and _DOTTED not in text else other).append(text)
-        groups = [plain[at : at + 512] for at in range(0, len(plain), 512)]
-        joined = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
-        for group, found in zip(groups, joined, strict=True):
-            ids = np.array(found.ids, "<u4")
-            ends = np.flatnonzero(self.closing[ids]) + 1
-            if len(ends) != len(group):
-                other += group
+            if word in known:
                 continue
-            data, at = ids.tobytes(), 0
-            for text, end in zip(group, (4 * ends).tolist(), strict=True):
-                known[text.encode()] = data[at:end]
-                at = end
-        alone = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
-        for text, found in zip(other, alone, strict=True):
-            known[text.encode()] = np.array(found.ids, "<u4").tobytes()
-        for word, stem in stems.items():
-            known[word] = known[stem] + known[word[len(stem) :]]
+            if word.isalpha() and word.islower():
+                small.append(word)
+            elif (text := word.decode()).isalpha() and _DOTTED not in text:
+                plain.append(word)
+            else:
+                other.append(word)
+        learnt, sizes, found = [], [], []
+        for coder, listed in ((self.letters, small), (self.tokenizer, plain)):
+            groups = [listed[at : at + 512] for at in range(0, len(listed), 512)]
+            joined = coder.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)
+            for group, encoding in zip(groups, joined, strict=True):
+                ids = np.array(encoding.ids, np.uint32)
+                ends = np.flatnonzero(self.closing[ids]) + 1
+                if len(ends) == len(group):
+                    learnt += group
+                    sizes.append(np.diff(ends, prepend=0))
+                    found.append(ids)
+                else:
+                    other += group
+        alone = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)]
+        sizes.append(np.array([len(ids) for ids in alone], np.int64))
+        found.append(np.array([n for ids in alone for n in ids], np.uint32))
+        self._remember(learnt + other, np.concatenate(sizes), np.concatenate(found))
+        get = known.__getitem__
+        both = np.array([list(map(get, stems)), list(map(get, marks))], np.int64).reshape(2, -1)
+        self._remember(marked, self.sizes[both].sum(0), self._stretches(both.T.ravel()))
+        self.uses[both.ravel()] += 1
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, the end id last."""
-        split = [_words((t or "").encode("utf-8", "replace")) for t in texts]
-        unknown = set().union(*split).difference(self.known)
-        if unknown:
-            if len(self.known) + len(unknown) > CACHE_WORDS:
-                unknown = set().union(*split)
-                self.known.clear()
-            self._learn(unknown)
-        get, end = self.known.__getitem__, END_ID.to_bytes(4, "little")
-        return [np.frombuffer(b"".join(map(get, words)) + end, "<u4") for words in split]
+        if len(self.slots) > self.cache_words:
+            self._forget()
+        words, of, many = _split([_lowered((t or "").encode("utf-8", "replace")) for t in texts])
+        slots = np.fromiter(map(self.slots.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            new = [words[at] for at in missing.tolist()]
+            self._learn(set(new))
+            slots[missing] = np.fromiter(map(self.slots.__getitem__, new), np.int64, len(new))
+        used = slots[of]
+        self.uses += np.bincount(used, minlength=len(self.uses))
+        ended = np.insert(used, np.cumsum(many), 0)
+        ends = np.cumsum(self.sizes[ended])[np.cumsum(many + 1) - 1]
+        return np.split(self._stretches(ended).astype("<u4", copy=False), ends[:-1]) if len(texts) else []
 
 
 def encoder(vocabulary: str) -> WordEncoder:
@@ -175,39 +256,41 @@ def compress(ids: np.ndarray, base: int, frequent: int = FREQUENT) -> tuple[np.n
     """Rules (left, right) of the symbols from ``base`` on, and the sequence that is left.
 
     A round replaces every frequent pair where it outnumbers the pairs that overlap it, so the
-    most frequent pairs go first. Rounds end when no pair is frequent, or when one has
-    shortened the sequence by less than a hundredth.
+    most frequent pairs go first. It ends after ``IDLE_ROUNDS`` rounds that gain next to nothing.
     """
     symbols, rules = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)]
-    made, turn = base, 0
-    while len(symbols) > 1:
-        at, slot, counts, pair = _frequent_pairs(symbols, frequent, turn)
-        if not len(at):
-            break
-        weight = np.zeros(len(symbols) + 2, np.int64)
-        own = 2 * counts[slot] + (at & 1)  # runs of one symbol: every second pair
-        weight[at + 1] = own
-        chosen = (own > weight[at]) & (own > weight[at + 2])
-        at, slot = at[chosen], slot[chosen]
-        worth = np.bincount(slot, minlength=len(counts)) * 2 >= frequent
-        chosen = worth[slot]
-        at, slot = at[chosen], slot[chosen]
-        if not len(at):
-            break
-        fresh = pair[worth]
-        rules.append(np.stack([fresh >> np.uint64(32), fresh & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        symbols[at] = (made + np.cumsum(worth) - 1)[slot]
-        rest = np.ones(len(symbols), bool)
-        rest[at + 1] = False
-        few = len(at) * 100 < len(symbols)
-        symbols = symbols[rest]
+    made, turn, idle = base, 0, 0
+    while len(symbols) > 1 and idle < IDLE_ROUNDS:
+        before = len(symbols)
+        fresh, symbols = _round(symbols, made, frequent, turn)
+        rules.append(fresh)
         made += len(fresh)
         turn += 1
-        if few:
-            break
+        idle = idle + 1 if before - len(symbols) <= LEAST_GAIN * before else 0
     return np.concatenate(rules), symbols
 
 
+def _round(symbols: np.ndarray, made: int, frequent: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """New rules, of the symbols from ``made`` on, and the sequence with them applied."""
+    at, slot, counts, pair = _frequent_pairs(symbols, frequent, turn)
+    weight = np.zeros(len(symbols) + 2, np.int64)
+    own = 2 * counts[slot] + (at & 1)  # runs of one symbol: every second pair
+    weight[at + 1] = own
+    chosen = (own > weight[at]) & (own > weight[at + 2])
+    at, slot = at[chosen], slot[chosen]
+    worth = np.bincount(slot, minlength=len(counts)) * 2 >= frequent
+    chosen = worth[slot]
+    at, slot = at[chosen], slot[chosen]
+    if not len(at):
+        return np.zeros((0, 2), np.uint32), symbols
+    fresh = pair[worth]
+    symbols[at] = (made + np.cumsum(worth) - 1)[slot]
+    rest = np.ones(len(symbols), bool)
+    rest[at + 1] = False
+    halves = [fresh >> np.uint64(32), fresh & np.uint64(0xFFFFFFFF)]
+    return np.stack(halves, 1).astype(np.uint32), symbols[rest]
+
+
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     lengths = [1] * len(rules)
     for n, (left, right) in enumerate(rules.tolist()):
@@ -324,7 +407,8 @@ def write(
 
     Columns: part (the range of keys), before (ids of the part in front of the container),
     n_ids, data. Null keys come first; a null or empty text has the end id only. Rows of one
-    key keep together; an empty table gives an empty one.
+    key follow one another in the order of a hash of their texts, so a key may fill many
+    containers; an empty table gives an empty one.
     """
     if vocabulary is None:
         with open(public_tokenizers.path(VOCABULARY), encoding="utf-8") as file:
@@ -347,9 +431,11 @@ def write(
 
         for batch in batches:
             names = [None if pd.isna(k) else int(k) for k in batch["key"]]
-            for at in range(0, len(batch), 256):
-                texts = batch["text"].iloc[at : at + 256].tolist()
-                for name, ids in zip(names[at : at + 256], coder.encode(texts), strict=True):
+            texts = batch["text"].tolist()
+            chars = np.cumsum([len(t or "") for t in texts])
+            cuts = np.unique(np.append(np.searchsorted(chars, np.arange(0, chars[-1:].sum(), BATCH_CHARS)), len(texts)))
+            for lo, hi in zip([0, *cuts.tolist()], cuts.tolist(), strict=False):
+                for name, ids in zip(names[lo:hi], coder.encode(texts[lo:hi]), strict=True):
                     if size and size + len(ids) > shard_ids:
                         yield close()
                     keys.append(name)
@@ -358,8 +444,9 @@ def write(
         if size:
             yield close()
 
-    rows = docs.select(F.col(key).cast("string").alias("key"), "text", F.col(key).alias("__order"))
-    dealt = rows.repartitionByRange("__order").sortWithinPartitions("__order").select("key", "text")
+    order = [F.col(key).alias("__order"), F.xxhash64("text").alias("__tie")]
+    rows = docs.select(F.col(key).cast("string").alias("key"), "text", *order)
+    dealt = rows.repartitionByRange("__order", "__tie").sortWithinPartitions("__order", "__tie").select("key", "text")
     dealt.mapInPandas(containers, "part int, before long, n_ids long, data binary").write.parquet(path)
 
 

@@ -268,6 +268,39 @@ def test_word_encoder_keeps_marks_capitals_and_added_tokens():
         assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1], ascii(text)
 
 
+def test_word_encoder_forgets_and_learns_again():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        vocabulary = file.read()
+    plain, words = Tokenizer.from_str(vocabulary), repair.WordEncoder(vocabulary, cache_words=60)
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        batch = [" ".join(f"Word{x}," if x % 3 else f"w\u00e9{x}" for x in rng.zipf(1.2, 30) % 500) for _ in range(3)]
+        batch += [None, "", "  ", " the a the "]
+        for text, ids in zip(batch, words.encode(batch), strict=True):
+            assert ids.tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 1]
+    assert words.encode([]) == [] and len(words.slots) < 400
+
+
+def test_rows_of_one_key_have_a_fixed_order(spark, tmp_path):
+    rows = [(n % 2 or None, f"text number {n}") for n in range(300)] + [(5, "same"), (5, "same")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for n, parts in enumerate((1, 7)):
+        repair.write(df.repartition(parts), f"{tmp_path}/{n}", shard_ids=100)
+        found.append(rows_of(repair.read(spark, f"{tmp_path}/{n}"), "doc_id", "start", "n_tokens", "ids_crc32"))
+    assert found[0] == found[1]
+    starts = [r[1] for r in sorted(found[0], key=lambda r: r[1])]
+    keys = [r[0] for r in sorted(found[0], key=lambda r: r[1])]
+    assert len(set(starts)) == 302 and keys == [None] * 150 + [1] * 150 + [5] * 2
+
+
+def test_rounds_go_on_after_an_idle_one():
+    """A pair may lose its hash slot in one round; the grammar goes on with another hash."""
+    ids = np.tile(np.arange(40, dtype=np.uint32), 300)
+    rules, symbols = repair.compress(ids, 40)
+    assert len(symbols) < 600 and len(rules) < 200
+
+
 def test_containers_decode_any_stretch():
     rng = np.random.default_rng(9)
     for ids in (
