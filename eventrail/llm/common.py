@@ -49,8 +49,13 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[t
         yield held, bounds(held)
 
 
+#: Bytes in one batch of rows for Python: texts differ in length by orders of magnitude.
+BATCH_BYTES = "16m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
