@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from eventrail.functions import jsonx
-from eventrail.functions.regexes import to_java
+from eventrail.functions.regexes import searched
 from eventrail.functions.temporal import compile_format
 
 NOT_AN_OBJECT = "event is not an object"
@@ -193,10 +193,10 @@ class Field(Step):
 
     def matches(self, pattern: str) -> Field:
         self._follows_string("regex")
-        java = to_java(pattern, self.folds_case)
+        found = searched(pattern, self.folds_case)
         message = f"field `{self.path}` must match regex `{pattern}`"
         return self._then(
-            lambda f: F.when(~f.text(self.path).rlike(java), _error(message))
+            lambda f: F.when(~found.column(f.text(self.path)), _error(message))
         )
 
     def date(self, text: str) -> Field:

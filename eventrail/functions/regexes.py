@@ -7,19 +7,18 @@ import re
 from pyspark import SparkContext
 from pyspark.errors import IllegalArgumentException
 
+from eventrail.functions.automata import POSIX, POSIX_CLASSES, Search, search
+
 _GROUP = re.compile(r"\(\?(P?<[A-Za-z_]\w*>|[imsx-]*[:)])")
-_POSIX = re.compile(r"\[:(\^?)([a-z]+):\]")
-# Java's names of the POSIX classes; the source dialect has them for ASCII only.
-_POSIX_CLASSES = {
-    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": "\\x00-\\x7F", "blank": "\\t ",
-    "cntrl": "\\x00-\\x1F\\x7F", "digit": "0-9", "graph": "!-~", "lower": "a-z", "print": " -~",
-    "punct": "!-/:-@\\[-`{-~", "space": "\\t\\n\\x0B\\f\\r ", "upper": "A-Z", "word": "0-9A-Za-z_",
-    "xdigit": "0-9A-Fa-f",
-}
 _PROPERTY = re.compile(r"\\[pP](?:\{(\^?)([^}]*)\}|([A-Z]))")
 _ESCAPES = set("dDwWsSbBAzntrfv0123456789pPxuU")
 
 
+def searched(pattern: str, ignore_case: bool = False) -> Search:
+    """How to look for the pattern in time linear in the text, and on a bounded stack."""
+    return search(pattern, ignore_case, to_java(pattern, ignore_case))
+
+
 def to_java(pattern: str, ignore_case: bool = False) -> str:
     """Java pattern with the same matches: Unicode classes, ``$`` only at the very end.
 
@@ -47,11 +46,11 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
             position += 2
             continue
         if in_class:
-            posix = _POSIX.match(pattern, position)
+            posix = POSIX.match(pattern, position)
             if posix:
-                if posix.group(2) not in _POSIX_CLASSES:
+                if posix.group(2) not in POSIX_CLASSES:
                     raise ValueError(f"unknown class `{posix.group(0)}` in regex `{pattern}`")
-                out.append(f"[{posix.group(1)}{_POSIX_CLASSES[posix.group(2)]}]")
+                out.append(f"[{posix.group(1)}{POSIX_CLASSES[posix.group(2)]}]")
                 position = posix.end()
                 continue
             if pattern.startswith(("--", "~~"), position):

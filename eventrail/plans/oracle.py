@@ -291,6 +291,16 @@ SELECT printf('node-node-a-lsn-%016d-%016d-%04d', min(e) + 1, max(e) + 1, chunk)
 SELECT event_id, w IN (0, 6) AS alpha, w NOT IN (4, 5) AS not_digit, w = 1 AS greek, w = 2 AS han,
   w IN (3, 6) AS upper, w = 4 AS word_end, w IN (0, 6) AS folded
 FROM (SELECT event_id, event_id % 7 AS w FROM events)""",
+    "v_regex_long": r"""
+SELECT doc_id, regexp_matches(s, '^(x|y)+$') AS pairs,
+  regexp_matches(s, '^(?:[\pL''-]+[ .,;:!?\n]*|[^\pL])*$') AS prose,
+  regexp_matches(s, '(?:\p{Lu}\p{Ll}+ )+\p{Ll}+\.') AS capitals,
+  regexp_matches(s, '(a|aa)+(e|ee)+[rst]+[ ,]') AS doubled,
+  regexp_matches(s, '[a-z0-9._]+@[a-z0-9.]+\.[a-z]+') AS mail,
+  regexp_matches(s, '(?i)licen[cs]e(?:.|\n)*(?:copy|warrant)[a-z]*') AS licensed,
+  regexp_matches(s, '^(?:.*\n)+.*$') AS lines,
+  regexp_matches(s, '^(?:[^ ]+ ){5,9}[^ ]+$') AS words
+FROM (SELECT doc_id, coalesce(text, '') AS s FROM documents UNION ALL SELECT -1, repeat('xy', 131072))""",
     "v_json_equality": """
 SELECT event_id, w = 0 AS ints, w = 1 AS floats, w = 2 AS nested, w = 4 AS one, w = 5 AS one_float, w = 6 AS empty
 FROM (SELECT event_id, event_id % 10 AS w FROM events)""",

@@ -278,6 +278,29 @@ def regex_dialect(spark, folder):
     return df.select("event_id", *[F.col(name).isNull().alias(name) for name in [*REGEXES, "folded"]])
 
 
+LONG_REGEXES = {
+    "pairs": "^(x|y)+$",
+    "prose": r"^(?:[\pL'-]+[ .,;:!?\n]*|[^\pL])*$",
+    "capitals": r"(?:\p{Lu}\p{Ll}+ )+\p{Ll}+\.",
+    "doubled": r"(a|aa)+(e|ee)+[rst]+[ ,]",
+    "mail": r"[a-z0-9._]+@[a-z0-9.]+\.[a-z]+",
+    "licensed": r"(?i)licen[cs]e(?:.|\n)*(?:copy|warrant)[a-z]*",
+    "lines": r"^(?:.*\n)+.*$",
+    "words": r"^(?:[^ ]+ ){5,9}[^ ]+$",
+}
+
+
+def long_regexes(spark, folder):
+    """Repeated groups over whole documents, and over the longest body that is let in."""
+    docs = derived.table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    most = spark.createDataFrame([(-1,)], "doc_id long").select("doc_id", F.repeat(F.lit("xy"), 131_072).alias("text"))
+    body = F.to_json(F.struct(F.col("text").alias("s")))
+    df = jsonx.parse_strict(docs.unionAll(most).select("doc_id", body.alias("body")), "body")
+    for name, pattern in LONG_REGEXES.items():
+        df = with_error(df, [Event.field("s").string().matches(pattern)], out=name)
+    return df.select("doc_id", *[F.col(name).isNull().alias(name) for name in LONG_REGEXES])
+
+
 EQUALS = {
     "ints": [1, 2],
     "floats": [1.0, 2],
@@ -994,6 +1017,7 @@ QUERIES: dict[str, Query] = {
     "v_text_rules": text_rules,
     "v_temporal_rules": temporal_rules,
     "v_regex_dialect": regex_dialect,
+    "v_regex_long": long_regexes,
     "v_json_equality": json_equality,
     "q_non_objects": non_objects,
     "p_loadtest_codes": loadtest_codes,
