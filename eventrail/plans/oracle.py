@@ -601,4 +601,16 @@ WHERE code IS NOT NULL AND e + 1 < (SELECT count(*) FROM events) // 2""",
     "t_bounded_batches": _with(*_REPLAY) + """
 SELECT sink_id, count(*) AS records, min(ms) AS first_sent_at FROM delivery
 GROUP BY sink_id, e // CAST(ceil((SELECT count(*) FROM events) / 4) AS BIGINT)""",
+    "x_target_lint": _with(_PROJECTS, _SCRIPTS) + """
+SELECT project_id, script_key, CASE script_key
+  WHEN 'strict' THEN 'emit target must use sink constant `SINK_EVENTS` instead of text'
+  WHEN 'lost' THEN 'unknown sink target `nowhere`'
+  WHEN 'loadtest' THEN 'emit target must be a configured sink constant' END AS message
+FROM chosen""",
+    "t_batch_wait": _with(*_REPLAY) + """
+SELECT CAST(step AS INTEGER) AS step, sink_id,
+  (SELECT count(*) FROM delivery d WHERE d.sink_id = s.sink_id AND e < CASE WHEN step < 2 THEN 0
+    WHEN step < 4 THEN 3 * n // 5 ELSE n END) AS records
+FROM (SELECT unnest(range(5)) AS step), (SELECT unnest(['events', 'events_error']) AS sink_id) s,
+  (SELECT count(*) AS n FROM events)""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from eventrail.operators import (
     projection,
     replay,
 )
+from eventrail.plans.lint import findings, sink_names
 from eventrail.plans.processor import Emit, Processor, Request, Set, attempt, processor
 from eventrail.plans.processor import Literal as Value
 from eventrail.plans.standard import (
@@ -31,10 +33,10 @@ from eventrail.plans.standard import (
     standard_rule_book,
 )
 from eventrail.session import scratch_path
-from eventrail.sinks.config import sink_spec
+from eventrail.sinks.config import BatchLimits, sink_spec
 from eventrail.sinks.writers import kafka_frame, stdout_lines, write_parquet
 from eventrail.sources import derived
-from eventrail.streaming.replay import ReplayConfig, replay_stream
+from eventrail.streaming.replay import ReplayConfig, SmallBatches, replay_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 SINKS = ["events", "events_error", "loadtest_events"]
@@ -693,6 +695,33 @@ def python_processor(spark, folder):
     return good.unionByName(bad)
 
 
+NAMES = sink_names(SINKS)
+
+
+def target_lint(spark, folder):
+    """What activation says of the script of every project, were these its processors."""
+
+    def by_constant(event, request, emit):
+        emit(NAMES.SINK_EVENTS, event)
+
+    def by_text(event, request, emit):
+        emit("events", event)
+
+    def computed(event, request, emit):
+        emit(event["target"], event)
+
+    built = {
+        "default": by_constant, "strict": by_text, "lost": lost_processor(), "loadtest": computed,
+        "enrichment": enrichment_processor(),
+    }
+    said = [(key, message.partition(" (line")[0]) for key, message in findings(built, SINKS)]
+    messages = spark.createDataFrame(said, "script_key string, message string")
+    # One row for each finding of five scripts.
+    return project_scripts(spark, folder).join(F.broadcast(messages), "script_key", "left").select(
+        "project_id", "script_key", "message"
+    )
+
+
 def _all_scripts(spark, folder, key):
     """Every project of the log under one processor."""
     users = derived.events(spark, folder).select(F.col("user_id").cast("int").alias("project_id"))
@@ -931,6 +960,15 @@ class StreamSite:
         schema = "sent_at bigint, event_json string, batch string"
         return self.spark.read.schema(schema).parquet(f"{self.root}/out/{name}")
 
+    def written(self):
+        """Events that each sink has by now, and the waiting ones that it has not."""
+        rows = []
+        for name in ("events", "events_error"):
+            path = f"{self.root}/out/{name}"
+            there = log.exists(self.spark, path)
+            rows.append((name, self.delivered(name).count() if there else 0))
+        return self.spark.createDataFrame(rows, "sink_id string, records bigint")
+
     def totals(self):
         counts = [
             self.delivered(name).agg(
@@ -992,6 +1030,31 @@ def bounded_batches(spark, folder):
     return per[0].unionByName(per[1]).drop("batch")
 
 
+def batch_wait(spark, folder):
+    """What has been written after each round of a stream whose sinks wait for full batches.
+
+    The first fifth of the log fills no batch and waits, also half a minute on. The next two
+    fifths fill one sink's batch, and all sinks are written; the rest waits for its time.
+    """
+    site = StreamSite(spark, folder, "stream")
+    records = derived.record_log(spark, folder)
+    total = records.count()
+    per_sink = replay.deliveries(planned_default(spark, folder)).groupBy("sink_id").count()
+    half = per_sink.agg(F.max("count")).first()[0] // 2
+    limits = BatchLimits(max_events=half, max_bytes=1 << 40, timeout="1m")
+    site.sinks = {name: replace(spec, batch=limits) for name, spec in site.sinks.items()}
+    small = SmallBatches(clock=lambda: now)
+    reached, out = 0, None
+    for step, (now, end) in enumerate(
+        [(0, total // 5), (30, total // 5 + 1), (40, 3 * total // 5), (50, total - 1), (110, total)]
+    ):
+        site.append(records.where((F.col("lsn") > reached) & (F.col("lsn") <= end)), step)
+        site.replay(small=small)
+        written = site.written().withColumn("step", F.lit(step))
+        out, reached = written if out is None else out.unionByName(written), end
+    return out
+
+
 QUERIES: dict[str, Query] = {
     "s_decode_requests": decoded_requests,
     "s_decode_spelling": decoded_spellings,
@@ -1043,6 +1106,7 @@ QUERIES: dict[str, Query] = {
     "x_project_processors": project_processors,
     "x_emit_snapshots": emit_snapshots,
     "x_python_processor": python_processor,
+    "x_target_lint": target_lint,
     "w_lsn_gaps": lsn_gaps,
     "w_before_gap": before_gap,
     "w_replay_windows": replay_windows,
@@ -1064,4 +1128,5 @@ QUERIES: dict[str, Query] = {
     "t_latest_reset": latest_reset,
     "t_gap_stop": gap_stop,
     "t_bounded_batches": bounded_batches,
+    "t_batch_wait": batch_wait,
 }
