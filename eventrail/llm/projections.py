@@ -1,8 +1,9 @@
 """Embedding near-duplicates by sorted projection passes.
 
-Every pass orders the vectors lexicographically by the signs of its own random projections and
-compares each with the next few in that order; verified pairs are united across the passes.
-Equal vectors are one class from the start. A window cannot list all links of a dense group,
+Every pass orders the vectors lexicographically by the sides of its own random planes on which
+they lie, and compares each with the next few in that order; verified pairs are united across the
+passes. Each plane goes through a vector of a sample, so that crowded regions are cut more often.
+Passes go on in rounds until one unites nothing. Equal vectors are one class from the start. A window cannot list all links of a dense group,
 so links are counted exactly inside every component, block against block.
 """
 
@@ -12,29 +13,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventrail.llm.common import components, ships_with_tasks, staged, table, whole_groups
+from eventrail.llm.common import components, release, ships_with_tasks, staged, table, whole_groups
 
 ships_with_tasks(__name__)
 
 COSINE = 0.9
-PASSES = 24
+#: Passes of a round, and rounds in a row that must unite nothing for the search to end.
+PASSES = 12
+IDLE_ROUNDS = 1
 BITS = 62
-WINDOW = 16
+WINDOW = 32
 SEED = 29
+#: Vectors of each length that planes may go through; a sample, which decides where to look only.
+SAMPLE = 512
 #: Vectors of a component that are compared with one another in one task.
 BLOCK = 1024
 
 
-def _codes(unit: np.ndarray, passes: int) -> np.ndarray:
-    """Sign bits of the projections of each pass, as one number per pass."""
-    planes = np.random.default_rng(SEED).standard_normal((unit.shape[1], passes * BITS))
-    signs = (unit @ planes > 0).reshape(len(unit), passes, BITS)
-    return signs @ (np.int64(1) << np.arange(BITS, dtype=np.int64)[::-1])
+def _codes(unit: np.ndarray, passes: range, sample: np.ndarray) -> np.ndarray:
+    """The sides of the planes of each pass, as one number per pass."""
+    out = np.empty((len(unit), len(passes)), np.int64)
+    weights = np.int64(1) << np.arange(BITS, dtype=np.int64)[::-1]
+    for n, number in enumerate(passes):
+        rng = np.random.default_rng((SEED, number))
+        planes = rng.standard_normal((unit.shape[1], BITS))
+        through = sample[rng.integers(0, len(sample), BITS)]
+        out[:, n] = (unit @ planes > np.einsum("bi,ib->b", through, planes)) @ weights
+    return out
 
 
 def _rows(data: pd.Series, size: int) -> np.ndarray:
@@ -79,7 +89,51 @@ def _neighbours(frame: pd.DataFrame, window: int, cosine: float) -> np.ndarray:
     return forest.links(frame["vec"].to_numpy(np.int64))
 
 
-def _pass_links(classes: DataFrame, passes: int, window: int, cosine: float, label: str) -> DataFrame:
+def _sampled(classes: DataFrame) -> dict[int, np.ndarray]:
+    """A bounded sample of the vectors of each length."""
+    order = Window.partitionBy("size").orderBy(F.xxhash64("vec"), "vec")
+    rows = classes.select("size", "vec", "data").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE)
+    found = rows.select("size", "data").toPandas()
+    return {int(size): _rows(part["data"], int(size)) for size, part in found.groupby("size")}
+
+
+def _united(classes: DataFrame, passes: int, window: int, cosine: float, label: str) -> DataFrame:
+    """(node, component) of the vectors that rounds of passes unite."""
+    sample = classes.sparkSession.sparkContext.broadcast(_sampled(classes))
+    known, idle, done = None, 0, 0
+    while idle < IDLE_ROUNDS:
+        links = _pass_links(classes, range(done, done + passes), sample, window, cosine, label)
+        done += passes
+        if known is None:
+            known = staged(components(links, label), label)
+            idle = int(known.isEmpty())
+            continue
+        for side in ("a", "b"):
+            at = known.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
+            links = links.join(at, side, "left").withColumn(side, F.coalesce(f"{side}_in", side)).drop(f"{side}_in")
+        fresh = staged(links.where("a <> b").distinct(), label)
+        if fresh.isEmpty():
+            idle += 1
+            continue
+        idle = 0
+        moved = staged(components(fresh, label), label).select(
+            F.col("node").alias("component"), F.col("component").alias("into")
+        )
+        # What a round unites may be alone so far, or stand for a component.
+        alone = moved.select(F.col("component").alias("node"), "component").join(known, "node", "left_anti")
+        known = staged(
+            known.unionByName(alone).join(moved, "component", "left").select(
+                "node", F.coalesce("into", "component").alias("component")
+            ),
+            label,
+        )
+        release(classes.sparkSession)
+    return known
+
+
+def _pass_links(
+    classes: DataFrame, passes: range, sample: Broadcast, window: int, cosine: float, label: str
+) -> DataFrame:
     """(a, b): links found by the passes, as forests."""
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,14 +141,14 @@ def _pass_links(classes: DataFrame, passes: int, window: int, cosine: float, lab
             for size, rows in batch.groupby("size"):
                 for at in range(0, len(rows), 2048):
                     part = rows.iloc[at : at + 2048]
-                    codes = _codes(_rows(part["data"], int(size)), passes)
+                    codes = _codes(_rows(part["data"], int(size)), passes, sample.value[int(size)])
                     yield pd.DataFrame(
                         {
                             "size": size,
-                            "pass": np.tile(np.arange(passes), len(part)),
+                            "pass": np.tile(np.array(passes), len(part)),
                             "code": codes.ravel(),
-                            "vec": np.repeat(part["vec"].to_numpy(), passes),
-                            "data": np.repeat(part["data"].to_numpy(), passes),
+                            "vec": np.repeat(part["vec"].to_numpy(), len(passes)),
+                            "data": np.repeat(part["data"].to_numpy(), len(passes)),
                         }
                     )
 
@@ -201,7 +255,8 @@ def near_duplicates(
     or non-finite components, links with nothing and is a component of its own; so is a row
     without an id, whose component is null and which is not kept. Vectors of different length
     never link. Rows that repeat count as other vectors. Pairs are found with the probability
-    that the passes give (see README); within a component all links are counted.
+    that the passes give, which go on until a round of them unites nothing; within a component
+    all links are counted.
     """
     whole = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall(
@@ -234,7 +289,7 @@ def near_duplicates(
         ),
         label,
     )
-    groups = components(_pass_links(classes, passes, window, cosine, label), label)
+    groups = _united(classes, passes, window, cosine, label)
     members = classes.join(groups, F.col("vec") == F.col("node")).select(
         "component", "vec", "copies", "size", "data"
     )
