@@ -32,7 +32,7 @@ _KINDS = 6  # lower, upper, digit, space, mark, other; their 4-grams
 _LEVELS = 16  # levels of each of the word statistics
 WIDTH = _GRAMS + _KINDS**4 + 2 * _LEVELS
 _BLOCK = 1 << 20
-_ROWS = 512
+_ROWS = 128
 
 
 def _kinds() -> np.ndarray:
@@ -148,9 +148,10 @@ def fit(
             )
 
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    # At most ``rows`` labelled keys are broadcast and as many feature rows come back.
-    got = texts.mapInPandas(embed, "doc_id long, quality int, at binary, value binary").toPandas()
-    got = got.sort_values(["doc_id", "quality", "at"], kind="stable").head(rows)
+    # At most ``rows`` labelled keys are broadcast and as many feature rows come back, however often
+    # a key repeats.
+    embedded = texts.mapInPandas(embed, "doc_id long, quality int, at binary, value binary")
+    got = embedded.orderBy("doc_id", "quality", "at", "value").limit(rows).toPandas()
     raw = np.zeros((len(got), WIDTH), np.float32)
     for row, at, value in zip(raw, got["at"], got["value"], strict=True):
         row[np.frombuffer(at, np.uint16)] = np.frombuffer(value, np.float16)
