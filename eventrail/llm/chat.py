@@ -45,7 +45,13 @@ class Layout:
         return sorted(path for _, path in self.turns)
 
     def fingerprints(self) -> Iterable[str]:
-        """The path lists that this layout answers for."""
+        """The path lists that this layout answers for.
+
+        Roles or texts of a whole list may be null, or both; then the list itself is the path.
+        """
+        if self.items:
+            yield from (",".join(self.paths), *self.paths, f"{self.items[0]}[]")
+            return
         for n in range(len(self.optional) + 1):
             for left_out in combinations(self.optional, n):
                 yield ",".join(p for p in self.paths if p not in left_out)
@@ -78,8 +84,13 @@ def _filled(field: T.StructField, column: Column, path: str) -> list[Column]:
             leaf for f in field.dataType for leaf in _filled(f, column[f.name], f"{path}.{f.name}")
         ]
     if isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.StructType):
-        inner = field.dataType.elementType
-        return [F.when(F.size(column) > 0, F.lit(f"{path}[].{f.name}")) for f in inner]
+        names = [f.name for f in field.dataType.elementType]
+        filled = [F.exists(column[n], lambda x: x.isNotNull()) for n in names]  # that field of every element
+        nothing = F.size(column) > 0
+        for some in filled:
+            nothing = nothing & ~some
+        found = [F.when(some, F.lit(f"{path}[].{n}")) for n, some in zip(names, filled, strict=True)]
+        return [*found, F.when(nothing, F.lit(f"{path}[]"))]
     return [F.when(column.isNotNull(), F.lit(path))]
 
 

@@ -38,6 +38,50 @@ def test_layouts(spark):
     assert turns[6:] == [[], [], [], []]
 
 
+def test_fields_that_no_element_fills_do_not_count(spark):
+    """Null fields inside arrays, roles or texts that are null throughout, and lists of nulls."""
+    schema = (
+        "conv_id long, messages array<struct<role:string,content:string,name:string>>, "
+        "conversations array<struct<from:string,value:string,weight:int>>"
+    )
+    rows = [
+        (1, [("user", "u", None), ("assistant", "a", None)], None),
+        (2, [("user", "u", "n")], None),  # a field that no layout knows
+        (3, [("user", None, None)], None),
+        (4, [(None, "x", None)], None),
+        (5, [(None, None, None)], None),
+        (6, [None], None),
+        (7, None, [("human", "h", None)]),
+        (8, [], [("gpt", None, None), ("human", "x", None)]),
+        (9, [("user", "u", None)], [("gpt", "g", None)]),  # two layouts at once
+    ]
+    found = {r["conv_id"]: r for r in chat.canonical(spark.createDataFrame(rows, schema)).collect()}
+    layouts = {1: "messages", 2: None, 3: "messages", 4: "messages", 5: "messages", 6: "messages", 7: "shared",
+               8: "shared", 9: None}
+    assert {k: r["layout"] for k, r in found.items()} == layouts
+    assert [tuple(t) for t in found[1]["turns"]] == [("user", "u"), ("assistant", "a")]
+    assert [tuple(t) for t in found[8]["turns"]] == [("assistant", ""), ("user", "x")]
+    assert len(found[5]["turns"]) == 1 and found[2]["turns"] == []
+
+
+def test_no_text_exhausts_a_stack(spark):
+    """A million characters that every secret pattern nearly matches, or matches."""
+    texts = {
+        "pem": "-----BEGIN " + "A " * 500_000 + "PRIVATE KEY-----",
+        "open": "-----BEGIN " + "A " * 500_000,
+        "assign": "password" + " " * 500_000 + "=" + " " * 10 + "x" * 500_000,
+        "words": "secret token api_key " * 50_000,
+        "hex": "0123456789abcdef" * 60_000,
+        "access": "AKIA" * 250_000,
+        "forge": "ghp_" + "z" * 1_000_000,
+    }
+    df = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    spans = {list(texts)[r["doc_id"]]: r["spans"] for r in secrets.scan(df).collect()}
+    assert {k: len(v) for k, v in spans.items()} == {
+        "pem": 1, "open": 0, "assign": 1, "words": 0, "hex": 1, "access": 1, "forge": 1,
+    }
+
+
 def test_template_reads_back(spark):
     nasty = ["", "<|im_end|>\n", "\\", "<", "<|", "\\<|", "a\\|b", "<|im_start|>assistant\nx", "\n", "$1 \\1", "\U0001f600"]
     turns = [[(role, text), ("assistant", text + role)] for role in nasty for text in nasty]
