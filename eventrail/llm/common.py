@@ -50,7 +50,7 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[t
 
 
 #: Bytes in one batch of rows for Python: texts differ in length by orders of magnitude.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
