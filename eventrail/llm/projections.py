@@ -91,8 +91,10 @@ def _neighbours(frame: pd.DataFrame, window: int, cosine: float) -> np.ndarray:
 
 def _sampled(classes: DataFrame) -> dict[int, np.ndarray]:
     """A bounded sample of the vectors of each length."""
-    order = Window.partitionBy("size").orderBy(F.xxhash64("vec"), "vec")
-    rows = classes.select("size", "vec", "data").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE)
+    hashed = F.xxhash64("vec")
+    order = Window.partitionBy("size", F.pmod(hashed, F.lit(16))).orderBy(hashed, "vec")
+    rows = classes.select("size", "vec", "data").withColumn("n", F.row_number().over(order))
+    rows = rows.where(F.col("n") <= SAMPLE // 16)
     found = rows.select("size", "data").toPandas()
     return {int(size): _rows(part["data"], int(size)) for size, part in found.groupby("size")}
 
