@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Upper bounds in seconds of the default histogram buckets.
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+BUCKET_LABELS = ("0.005", "0.01", "0.025", "0.05", "0.1", "0.25", "0.5", "1.0", "2.5", "5.0", "10.0")
 LABELS = ("project_id", "xwhat", "result")
 REFRESH_SECONDS = 3
 
@@ -15,24 +16,31 @@ def events_total(observations: DataFrame) -> DataFrame:
     return observations.groupBy(*LABELS).agg(F.count(F.lit(1)).alias("events_total"))
 
 
-def duration_histogram(observations: DataFrame, seconds: str = "seconds") -> DataFrame:
-    """Cumulative buckets, sum and count per label set, one row per bucket."""
+def bucket_sums(seconds: str = "seconds") -> list[Column]:
+    """Aggregates of a histogram: one count per bucket, the count and the sum."""
     value = F.col(seconds)
     counts = [F.count_if(value <= bound).alias(f"__le{i}") for i, bound in enumerate(BUCKETS)]
-    totals = observations.groupBy(*LABELS).agg(
-        *counts, F.count(value).alias("duration_count"), F.sum(value).alias("duration_sum")
-    )
+    return [*counts, F.count(value).alias("duration_count"), F.sum(value).alias("duration_sum")]
+
+
+def bucket_rows(totals: DataFrame, *others: str) -> DataFrame:
+    """One row per label set and bucket of such aggregates."""
     rows = [
-        F.struct(F.lit(str(bound)).alias("le"), F.col(f"__le{i}").alias("bucket_count"))
-        for i, bound in enumerate(BUCKETS)
+        F.struct(F.lit(label).alias("le"), F.col(f"__le{i}").alias("bucket_count"))
+        for i, label in enumerate(BUCKET_LABELS)
     ]
     rows.append(F.struct(F.lit("+Inf").alias("le"), F.col("duration_count").alias("bucket_count")))
     return totals.select(
-        *LABELS, F.inline(F.array(*rows)).alias("le", "bucket_count"),
+        *LABELS, *others, F.inline(F.array(*rows)).alias("le", "bucket_count"),
         "duration_count", "duration_sum",
     )
 
 
+def duration_histogram(observations: DataFrame, seconds: str = "seconds") -> DataFrame:
+    """Cumulative buckets, sum and count per label set, one row per bucket."""
+    return bucket_rows(observations.groupBy(*LABELS).agg(*bucket_sums(seconds)))
+
+
 def log_gauges(bounds: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Highest LSN, checkpoint and lag per node; the lag never goes below zero."""
     checkpoint = F.coalesce("checkpoint_lsn", F.lit(0))

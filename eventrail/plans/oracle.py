@@ -613,4 +613,14 @@ SELECT CAST(step AS INTEGER) AS step, sink_id,
     WHEN step < 4 THEN 3 * n // 5 ELSE n END) AS records
 FROM (SELECT unnest(range(5)) AS step), (SELECT unnest(['events', 'events_error']) AS sink_id) s,
   (SELECT count(*) AS n FROM events)""",
+    "t_running_totals": _with(_EVENTS) + f""",
+bound(le, top) AS (VALUES {_BUCKET_ROWS}, ('+Inf', CAST('Infinity' AS DOUBLE)))
+SELECT u % 5 AS project_id, xwhat, 'ok' AS result, count(*) AS events_total, le,
+  count(*) FILTER (WHERE k / 8 <= top) AS bucket_count, count(*) AS duration_count,
+  sum(k / 8) AS duration_sum FROM ev, bound GROUP BY u % 5, xwhat, le""",
+    "t_node_stale": _with(_EVENTS) + """,
+last AS (SELECT u, arg_max(e, ms) AS e, max(ms) AS ms FROM ev GROUP BY u)
+SELECT 'node-' || u AS node_id, CASE WHEN u % 5 = 0 THEN 'stopped'
+    WHEN (SELECT max(ms) FROM ev) - ms > 3 * 3600 * 1000 THEN 'stale' ELSE 'running' END AS status,
+  '1.' || e AS version, ms AS last_seen_at FROM last""",
 }

@@ -36,6 +36,7 @@ from eventrail.session import scratch_path
 from eventrail.sinks.config import BatchLimits, sink_spec
 from eventrail.sinks.writers import kafka_frame, stdout_lines, write_parquet
 from eventrail.sources import derived
+from eventrail.streaming import metrics as stream_metrics
 from eventrail.streaming.replay import ReplayConfig, SmallBatches, replay_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1055,6 +1056,38 @@ def batch_wait(spark, folder):
     return out
 
 
+def _in_thirds(spark, rows, label, start):
+    """Rows that arrive in three parts by time, and a stream that is stopped and started after each."""
+    root = scratch_path(spark, label)
+    low, high = rows.agg(F.min("ms"), F.max("ms")).first()
+    cuts = [low + (high - low) * n // 3 for n in (1, 2)] if low is not None else [0, 0]
+    part = F.when(F.col("ms") <= cuts[0], 0).when(F.col("ms") <= cuts[1], 1).otherwise(2)
+    for n in range(3):
+        rows.where(part == n).drop("ms").write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.drop("ms").schema).parquet(f"{root}/in")
+        start(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return f"{root}/out"
+
+
+def running_totals(spark, folder):
+    """Counters and histograms of a stream that was started three times."""
+    rows = derived.events(spark, folder).select(
+        (F.col("user_id") % 5).alias("project_id"), "xwhat", F.lit("ok").alias("result"),
+        (F.col("k") / 8).alias("seconds"), "ms",
+    )
+    return stream_metrics.running_totals(spark, _in_thirds(spark, rows, "totals", stream_metrics.totals_stream))
+
+
+def node_stale(spark, folder):
+    """Nodes that fell silent while others went on, by the timers of a stream."""
+    rows = derived.heartbeats(spark, folder).withColumn("ms", F.col("last_seen_at"))
+
+    def start(stream, path, checkpoint):
+        return stream_metrics.node_stream(stream, path, checkpoint, 3600, by_event_time=True)
+
+    return stream_metrics.node_states(spark, _in_thirds(spark, rows, "nodes", start))
+
+
 QUERIES: dict[str, Query] = {
     "s_decode_requests": decoded_requests,
     "s_decode_spelling": decoded_spellings,
@@ -1129,4 +1162,6 @@ QUERIES: dict[str, Query] = {
     "t_gap_stop": gap_stop,
     "t_bounded_batches": bounded_batches,
     "t_batch_wait": batch_wait,
+    "t_running_totals": running_totals,
+    "t_node_stale": node_stale,
 }
