@@ -623,4 +623,19 @@ last AS (SELECT u, arg_max(e, ms) AS e, max(ms) AS ms FROM ev GROUP BY u)
 SELECT 'node-' || u AS node_id, CASE WHEN u % 5 = 0 THEN 'stopped'
     WHEN (SELECT max(ms) FROM ev) - ms > 3 * 3600 * 1000 THEN 'stale' ELSE 'running' END AS status,
   '1.' || e AS version, ms AS last_seen_at FROM last""",
+    "t_retries": _with(*_REPLAY) + """
+SELECT sink_id, count(*) AS records, CAST(sum(ms) AS BIGINT) AS sent_at_sum FROM delivery GROUP BY 1
+UNION ALL SELECT 'quarantine', count(*), NULL FROM plan WHERE code IS NOT NULL
+UNION ALL SELECT 'first events', count(*), NULL FROM delivery WHERE sink_id = 'events'
+UNION ALL SELECT 'first reached', 0, NULL
+UNION ALL SELECT 'reached', count(*), NULL FROM events""",
+    "k_sink_refusals": """
+SELECT s_suppkey AS id, CASE s_suppkey % 10 WHEN 1 THEN 'path_prefix must not be empty'
+  WHEN 3 THEN 'missing field `bootstrap_servers`' WHEN 5 THEN 'unknown blackhole mode `slow`'
+  WHEN 7 THEN 'batch.max_events must be greater than 0'
+  WHEN 9 THEN 'unsupported parquet storage scheme `ftp`' END AS error FROM supplier""",
+    "f_durations": """
+SELECT s_suppkey AS id, CAST(CASE s_suppkey % 7 WHEN 0 THEN s_suppkey WHEN 1 THEN 1000 * s_suppkey
+  WHEN 2 THEN 60000 * s_suppkey + 30000 WHEN 3 THEN 3600000 * s_suppkey + 62000
+  WHEN 4 THEN 86400000 + 3600000 * s_suppkey END AS BIGINT) AS milliseconds FROM supplier""",
 }

@@ -37,7 +37,7 @@ from eventrail.sinks.config import BatchLimits, sink_spec
 from eventrail.sinks.writers import kafka_frame, stdout_lines, write_parquet
 from eventrail.sources import derived
 from eventrail.streaming import metrics as stream_metrics
-from eventrail.streaming.replay import ReplayConfig, SmallBatches, replay_stream
+from eventrail.streaming.replay import Progress, ReplayConfig, SmallBatches, replay_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 SINKS = ["events", "events_error", "loadtest_events"]
@@ -756,6 +756,54 @@ def created_containers(spark, folder):
 
 # Sinks -----------------------------------------------------------------------
 
+FILES = {"scheme": "fs", "options": {"root": "/data"}}
+# Type, target, destination; every second one is refused.
+SINK_CASES = [
+    ("parquet", FILES, {"path_prefix": "out", "batch": {"timeout": "1m 30s"}}),
+    ("parquet", FILES, {"path_prefix": " "}),
+    ("kafka", {"bootstrap_servers": "b:9092"}, {"topic": "t"}),
+    ("kafka", {}, {"topic": "t"}),
+    ("blackhole", {}, {"mode": "ok"}),
+    ("blackhole", {}, {"mode": "slow"}),
+    ("stdout", {}, {}),
+    ("stdout", {}, {"batch": {"max_events": 0}}),
+    ("parquet", {"scheme": "s3", "options": {"bucket": "b"}}, {"path_prefix": "p"}),
+    ("parquet", {"scheme": "ftp", "options": {"root": "/"}}, {"path_prefix": "p"}),
+]
+
+
+def sink_refusals(spark, folder):
+    """What is wrong with the configuration of each sink, nothing for a good one."""
+    rows = []
+    for row in derived.event_sinks(spark, folder).select("id", "auto_offset_reset").toLocalIterator():
+        kind, target, destination = SINK_CASES[row["id"] % len(SINK_CASES)]
+        try:
+            sink_spec(f"s{row['id']}", kind, target, destination, row["auto_offset_reset"])
+            rows.append((row["id"], None))
+        except ValueError as refused:
+            rows.append((row["id"], str(refused)))
+    return spark.createDataFrame(rows, "id bigint, error string")
+
+
+def durations(spark, folder):
+    """Seconds of duration texts, one for each sink; texts that are none have no seconds."""
+    s = F.col("id")
+    texts = F.array(
+        F.concat(s.cast("string"), F.lit("ms")), F.concat(s.cast("string"), F.lit("s")),
+        F.concat(s.cast("string"), F.lit("min 30sec")), F.concat(s.cast("string"), F.lit("h 1m 2s")),
+        F.concat(F.lit("1day "), s.cast("string"), F.lit("hours")), F.concat(s.cast("string"), F.lit("x")),
+        F.concat(F.lit("-"), s.cast("string"), F.lit("s")),
+    )
+    asked = derived.event_sinks(spark, folder).select("id", F.get(texts, (s % 7).cast("int")).alias("text"))
+    rows = []
+    for row in asked.toLocalIterator():
+        try:
+            rows.append((row["id"], round(names.duration_seconds(row["text"]) * 1000)))
+        except ValueError:
+            rows.append((row["id"], None))
+    return spark.createDataFrame(rows, "id bigint, milliseconds bigint")
+
+
 PAYMENT_COLUMNS = [
     {"name": "appid", "path": "appid", "type": "string", "nullable": True},
     {"name": "amount", "path": "xcontext.currencyamount", "type": "number", "nullable": True},
@@ -1056,6 +1104,33 @@ def batch_wait(spark, folder):
     return out
 
 
+def retries(spark, folder):
+    """A sink fails, later ones wait, and nothing is marked as done; once mended, all comes out once.
+
+    ``events`` comes before the sink that fails, so it is written by the first attempt.
+    """
+    site = StreamSite(spark, folder, "stream")
+    site.append(derived.record_log(spark, folder), 0)
+    good = site.sinks
+    site.sinks = {**good, "events_error": sink_spec("events_error", "blackhole", {}, {"mode": "fail"})}
+    try:
+        site.replay()
+        raise AssertionError("the sink did not fail")
+    except StreamingQueryException as stopped:
+        if replay.SINK_FAILED_CODE not in str(stopped):
+            raise
+    first = Progress.read(spark, f"{site.root}/progress").lsns
+    written = site.delivered("events").count()
+    site.sinks = good
+    site.replay()
+    site.replay()
+    reached = Progress.read(spark, f"{site.root}/progress").lsns
+    # One row per step, of one node's log.
+    steps = [("first events", written), ("first reached", sum(first.values())), ("reached", sum(reached.values()))]
+    extra = spark.createDataFrame([(*s, None) for s in steps], "sink_id string, records bigint, sent_at_sum bigint")
+    return site.totals().unionByName(extra)
+
+
 def _in_thirds(spark, rows, label, start):
     """Rows that arrive in three parts by time, and a stream that is stopped and started after each."""
     root = scratch_path(spark, label)
@@ -1148,6 +1223,8 @@ QUERIES: dict[str, Query] = {
     "k_parquet_sink": parquet_sink,
     "k_kafka_messages": kafka_messages,
     "k_console_lines": console_lines,
+    "k_sink_refusals": sink_refusals,
+    "f_durations": durations,
     "m_events_total": events_total,
     "m_duration_histogram": duration_histogram,
     "m_log_gauges": log_gauges,
@@ -1162,6 +1239,7 @@ QUERIES: dict[str, Query] = {
     "t_gap_stop": gap_stop,
     "t_bounded_batches": bounded_batches,
     "t_batch_wait": batch_wait,
+    "t_retries": retries,
     "t_running_totals": running_totals,
     "t_node_stale": node_stale,
 }
