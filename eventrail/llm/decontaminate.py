@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventrail.llm.common import ships_with_tasks, table
+from eventrail.llm.common import ships_with_tasks, staged, table
 
 ships_with_tasks(__name__)
 
@@ -206,23 +206,29 @@ def contamination(
     ``docs`` needs ``text``; ``benchmark`` needs ``item_id`` and ``text``. Null and empty texts
     have no words and no hits. Items without words have no windows; an item with a null id makes
     hits but is not listed; ids that repeat are listed once. A benchmark above ``block_words``
-    is taken in blocks, each broadcast on its own, so memory is bounded at any size. Other
-    columns pass unchanged, but for an existing ``hits``.
+    is taken in blocks, each broadcast on its own and its hits stored before the next, so memory
+    is bounded at any size. Other columns pass unchanged, but for an existing ``hits``.
     """
-    out, blocks = docs, []
-    for n, block in enumerate(_blocks(benchmark, block_words)):
-        index = Index(block)
-        index.rank(_rarities(docs, index))
-        search = _searcher(docs.sparkSession, index)
-        blocks.append(f"__hits{n}")
-        out = out.withColumn(blocks[-1], search(F.col("text")))
+    out = docs.drop("hits")
+    more = "more"
+    while more in out.columns:
+        more += "_"
 
     @F.pandas_udf(HITS)
     def merge(parts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_merged(list(p)) for p in parts], columns=["n_words", "spans", "items"])
 
-    hits = F.col(blocks[0]) if len(blocks) == 1 else merge(F.array(*blocks))
-    return out.withColumn("hits", hits).drop(*blocks)
+    for n, block in enumerate(_blocks(benchmark, block_words)):
+        index = Index(block)
+        index.rank(_rarities(docs, index))
+        search = _searcher(docs.sparkSession, index)
+        if n == 0:
+            out = out.withColumn("hits", search(F.col("text")))
+            continue
+        # What is found so far is stored, so that tasks hold the index of one block only.
+        both = staged(out, "decontaminate").withColumn(more, search(F.col("text")))
+        out = both.withColumn("hits", merge(F.array("hits", more))).drop(more)
+    return out
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

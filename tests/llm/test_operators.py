@@ -146,6 +146,15 @@ def test_benchmark_in_blocks(spark, sample):
     assert whole == parts
 
 
+def test_blocks_keep_columns_that_clash(spark):
+    docs = awkward(spark).withColumn("hits", F.lit(1)).withColumn("more", F.lit("m"))
+    items = spark.createDataFrame([(n, f"alpha beta gamma {n}") for n in range(4)] + [(9, "one")], "item_id long, text string")
+    whole = decontaminate.contamination(docs, items)
+    parts = decontaminate.contamination(docs, items, block_words=4)
+    assert sorted(parts.columns) == sorted(whole.columns) == sorted(docs.columns)
+    assert rows_of(whole, "doc_id", "more", "hits") == rows_of(parts, "doc_id", "more", "hits")
+
+
 def test_numbers_are_gapless(spark):
     df = spark.range(1000).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(7)))
     rows = numbered(df, ["k", "id"], "n", "test").orderBy("n").collect()
