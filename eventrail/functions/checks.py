@@ -427,22 +427,29 @@ def all_paths(steps: Iterable[Step]) -> frozenset[str]:
     return frozenset().union(*[step.paths() for step in steps])
 
 
+# The phrases of error texts, in the order in which they are looked for, and their codes.
+# The texts themselves are fixed as well, wherever this module words one.
+ERROR_STARTS = {
+    "missing required field `": "rules_required_field_missing",
+    "at least one field is required: ": "rules_conditional_required_missing",
+}
+ERROR_PHRASES = {
+    "expected type `": "rules_field_type_mismatch",
+    "must be one of [": "rules_enum_value_invalid",
+    "could not be represented as f64": "rules_number_parse_failed",
+    "must be greater than ": "rules_number_constraint_failed",
+    "must be greater than or equal to ": "rules_number_constraint_failed",
+    "must be less than ": "rules_number_constraint_failed",
+    "must be less than or equal to ": "rules_number_constraint_failed",
+}
+OTHER_ERROR = "rules_script_execution_failed"
+
+
 def classify_error(error: Column) -> Column:
     """Stable code of an error text; NULL for no error."""
-    number_words = ["greater than ", "greater than or equal to ", "less than ", "less than or equal to "]
-    constraint = reduce(
-        lambda a, b: a | b, [error.contains(f"must be {words}") for words in number_words]
-    )
-    return (
-        F.when(error.isNull(), F.lit(None).cast("string"))
-        .when(error.startswith("missing required field `"), "rules_required_field_missing")
-        .when(
-            error.startswith("at least one field is required: "),
-            "rules_conditional_required_missing",
-        )
-        .when(error.contains("expected type `"), "rules_field_type_mismatch")
-        .when(error.contains("must be one of ["), "rules_enum_value_invalid")
-        .when(error.contains("could not be represented as f64"), "rules_number_parse_failed")
-        .when(constraint, "rules_number_constraint_failed")
-        .otherwise("rules_script_execution_failed")
-    )
+    code = F.when(error.isNull(), F.lit(None).cast("string"))
+    for start, name in ERROR_STARTS.items():
+        code = code.when(error.startswith(start), name)
+    for phrase, name in ERROR_PHRASES.items():
+        code = code.when(error.contains(phrase), name)
+    return code.otherwise(OTHER_ERROR)

@@ -106,6 +106,7 @@ def _verdict(processed: DataFrame, sinks: Iterable[str], scripts: list[str]) ->
         .when(blank, "replay_empty_sink_target")
         .when(F.col("bad_target").isNotNull(), "replay_unknown_sink_target")
     )
+    # The messages of records that are held.
     message = (
         F.when(~F.col("__valid"), "invalid wal record json body")
         .when(
