@@ -90,7 +90,7 @@ script AS (
   FROM part),
 bound AS (
   SELECT o_custkey AS project_id, arg_max(script_key, o_orderkey) AS script_key
-  FROM orders JOIN script ON script.id = o_orderkey % 200
+  FROM orders JOIN script ON script.id = o_orderkey % (SELECT max(p_partkey) + 1 FROM part)
   WHERE o_custkey % 4 <> 3 AND o_orderkey % 3 <> 0 AND active GROUP BY 1),
 chosen AS (
   SELECT proj.id AS project_id, coalesce(bound.script_key, 'default') AS script_key

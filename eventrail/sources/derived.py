@@ -201,10 +201,11 @@ def scripts(spark: SparkSession, folder: str) -> DataFrame:
 def bindings(spark: SparkSession, folder: str) -> DataFrame:
     o = F.col("o_orderkey")
     bound = table(spark, folder, "orders").filter(F.col("o_custkey") % 4 != 3)
+    scripts_there = table(spark, folder, "part").agg(F.coalesce(F.max("p_partkey"), F.lit(0)) + 1).scalar()
     return bound.select(
         o.alias("id"),
         F.col("o_custkey").alias("project_id"),
-        (o % 200).alias("processor_script_id"),
+        (o % scripts_there).alias("processor_script_id"),
         (o % 3 != 0).alias("enabled"),
     )
 
