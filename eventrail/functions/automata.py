@@ -25,6 +25,8 @@ SHORT_TEXT = 512
 #: Repetitions of a group that Java may nest, and the most states and classes of an automaton.
 NESTED, STATES, CLASSES = 256, 4000, 200
 _NODES = 20_000
+#: Ranges of a class that Java tries in a row, and the entries of a table up to which it is made minimal.
+_RANGES, _MINIMAL = 8, 20_000
 
 _LIMIT = 0x110000
 _TOKENS = 0xE000  # private characters that stand for classes
@@ -336,8 +338,34 @@ def _endless(node: Node) -> int:
     return node.endless + sum(map(_endless, node.parts))
 
 
+def _looked(node: Node) -> set[str]:
+    """The kinds of looks in it."""
+    return {node.look} - {""} | set().union(*map(_looked, node.parts))
+
+
+def _rest(runs: Runs) -> Runs:
+    """All other code points."""
+    edges = [-1, *(x for run in runs for x in run), _LIMIT]
+    return tuple((a + 1, b - 1) for a, b in zip(edges[::2], edges[1::2], strict=True) if a + 1 < b)
+
+
 def _class(runs: Runs) -> str:
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]" if runs else "(?!)"
+    """A class for Java, which tries ranges one after the other: many are halved, ASCII comes first."""
+    rest = _rest(runs)
+    if not runs:
+        return "(?!)"
+    if rest and len(rest) < len(runs) and len(rest) <= _RANGES:
+        return f"[^{_ranges(rest)}]"
+    low, high = [r for r in runs if r[0] < 128], [r for r in runs if r[0] >= 128]
+    return f"[{_ranges(low)}{_ranges(high)}]"
+
+
+def _ranges(runs: list[tuple[int, int]] | Runs) -> str:
+    if len(runs) <= _RANGES:
+        return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
+    half = len(runs) // 2
+    parts = (runs[:half], runs[half:])
+    return "".join(f"[[\\x{{{p[0][0]:x}}}-\\x{{{p[-1][1]:x}}}]&&[{_ranges(p)}]]" for p in parts)
 
 
 _JAVA_LOOKS = {
@@ -391,8 +419,9 @@ class Automaton:
 
         collect(node)
         # Code points that no set and no look tells apart are one class.
-        looks = _looks(node)
-        told = [*sets, *([members(r"\w"), members("\n")] if looks else [])]
+        looks = _looked(node)
+        words, lines = bool(looks & {"word", "inside"}), bool(looks & {"line", "line_end"})
+        told = [*sets, *([members(r"\w")] if words else []), *([members("\n")] if lines else [])]
         rows = np.array([_array(s) for s in told], bool).reshape(-1, _LIMIT)
         packed = np.zeros((_LIMIT, -(-max(len(told), 1) // 8)), np.uint8)
         if len(told):
@@ -404,14 +433,15 @@ class Automaton:
         if self.classes > CLASSES:
             raise ValueError("the regex tells too many classes of characters apart")
         self.within = [set(np.flatnonzero(row[first]).tolist()) for row in rows[: len(sets)]]
-        wordlike = set(np.flatnonzero(rows[-2][first]).tolist()) if looks else set()
-        newline = set(np.flatnonzero(rows[-1][first]).tolist()) if looks else set()
+        wordlike = set(np.flatnonzero(rows[len(sets)][first]).tolist()) if words else set()
+        newline = set(np.flatnonzero(rows[-1][first]).tolist()) if lines else set()
         #: What a look sees of a character: a letter of a word, a line feed, anything else.
         self.seen = ["word" if c in wordlike else "line" if c in newline else "other" for c in range(self.classes)]
         self.sets, self.states = sets, _States()
         self.first = self.states.new()
         self.last = self._place(node, self.first)
-        self._determine(looks)
+        self._determine()
+        self._reduce()
 
     def _place(self, node: Node, at: int) -> int:
         states = self.states
@@ -467,7 +497,7 @@ class Automaton:
                     todo.append(to)
         return out
 
-    def _determine(self, looks: bool) -> None:
+    def _determine(self) -> None:
         start = (frozenset([self.first]), "start")
         number, order = {start: 0}, [start]
         found = ("found",)
@@ -482,7 +512,7 @@ class Automaton:
             row = []
             closed: dict[str, set[int]] = {}
             for c in range(self.classes):
-                seen = self.seen[c] if looks else "other"
+                seen = self.seen[c]
                 if seen not in closed:
                     closed[seen] = self._reached(places, before, seen)
                 if self.last in closed[seen]:
@@ -499,6 +529,27 @@ class Automaton:
             table.append(row)
         self.table, self.accepting = table, accepting
 
+    def _reduce(self) -> None:
+        """One state for all with the same future, and one class for all that move alike."""
+        table, block = np.array(self.table, np.int64), np.array(self.accepting, np.int64)
+        if table.size <= _MINIMAL:
+            kinds = 0
+            while kinds < (kinds := len(set(block.tolist()))):
+                _, block = np.unique(np.column_stack([block, block[table]]), axis=0, return_inverse=True)
+                block = block.ravel()
+            # The first state stays the first.
+            _, members, order = np.unique(block, return_index=True, return_inverse=True)
+            place = np.argsort(np.argsort(members))
+            block = place[order.ravel()]
+            members = np.sort(members)
+            table = block[table[members]]
+            self.accepting = [self.accepting[m] for m in members]
+        moves, kept = np.unique(table, axis=1, return_inverse=True)
+        self.of = kept.ravel()[self.of.ravel()]
+        self.table, self.classes = moves.tolist(), moves.shape[1]
+        #: Classes of which a run moves as one character does.
+        self.runs = [bool((m[m] == m).all()) for m in moves.T]
+
     def matches(self, text: str) -> bool:
         state = 0
         for char in text:
@@ -507,6 +558,8 @@ class Automaton:
 
     def column(self, text: Column) -> Column:
         """Whether the pattern is found in the text, by following the table."""
+        if len(set(self.accepting)) == 1:
+            return F.when(text.isNotNull(), F.lit(self.accepting[0]))
         n = self.classes
         tokens = [chr(_TOKENS + c) for c in range(n)]
         own = int(self.of[_TOKENS])
@@ -516,10 +569,15 @@ class Automaton:
         spare = next(c for c in range(_TOKENS + n, _LIMIT) if self.of[c] == own)
         # Private characters of the text itself first become another one of their class.
         coded = F.regexp_replace(text, f"[{tokens[0]}-{tokens[-1]}]", chr(spare))
+        spelled = []
         for c in range(n):
             inside = self.of == c
             inside[_TOKENS : _TOKENS + n] = False
-            coded = F.regexp_replace(coded, _class(_runs(inside)), tokens[c])
+            spelled.append((_runs(inside), c))
+        # Few ranges first; the last class is all that is no token yet. Runs shrink where one will do.
+        for at, (inside, c) in enumerate(sorted(spelled, key=lambda s: len(s[0])), 1):
+            listed = _class(inside) if at < n else f"[^{tokens[0]}-{tokens[-1]}]"
+            coded = F.regexp_replace(coded, listed + "+" * self.runs[c], tokens[c])
         flat = ",".join(str(to * n) for row in self.table for to in row)
         table = F.split(F.lit(flat), ",").cast("array<int>")
         end = F.aggregate(

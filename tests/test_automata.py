@@ -90,3 +90,37 @@ def test_what_is_left_to_java():
 def test_unbounded_or_broken_patterns_are_refused(pattern):
     with pytest.raises(ValueError):
         searched(pattern)
+
+
+def test_classes_of_many_ranges_hold_the_same_characters(spark):
+    """Halved and negated spellings of a class, against its members, over all code points."""
+    blocks = ["".join(chr(c) for c in range(n, n + 4096) if not 0xD800 <= c < 0xE000) for n in range(0, 0x110000, 4096)]
+    df = spark.createDataFrame([(n, b) for n, b in enumerate(blocks)], "n int, s string").coalesce(1)
+    for text in (r"\pL", r"\p{Lu}", r"\w", r"[^\pL]", r"[^ ]", r"(?s:.)"):
+        runs = automata.members(text)
+        spelled = automata._class(runs)
+        found = df.select("n", F.regexp_replace("s", spelled, "").alias("left")).collect()
+        held = {c for a, b in runs for c in range(a, b + 1)}
+        for row in found:
+            assert row["left"] == "".join(c for c in blocks[row["n"]] if ord(c) not in held), text
+
+
+def test_only_what_a_pattern_tells_apart_is_coded():
+    def coded(pattern):
+        return automata.Automaton(automata._trimmed(automata.simplified(automata._Reader(pattern, False).read())))
+
+    # Words and line feeds count where a look asks for them, and states and classes are the fewest.
+    assert coded(r"^(?:.*\n)+.*$").classes == 2
+    assert coded(r"^(?:[^ ]+ ){5,9}[^ ]+$").classes == 2
+    assert coded(r"^(?:[\pL'-]+[ .,;:!?\n]*|[^\pL])*$").classes == 1
+    assert coded(r"(a|aa)+(e|ee)+[rst]+[ ,]").runs == [True] * 5
+    assert not all(coded(r"^(?:ab|c)*$").runs)
+
+
+def test_letters_of_a_megabyte_take_no_minutes(spark):
+    text = "Straße, один two\n" * 60_000
+    df = spark.createDataFrame([(text,)], "s string")
+    for pattern in (r"^(?:[^ ]+ )+[^ ]+$", r"(?:\p{Lu}\p{Ll}+ )+\p{Ll}+\."):
+        started = time.perf_counter()
+        assert df.select(searched(pattern).column(F.col("s")).alias("found")).first()["found"] is wanted(pattern, text)
+        assert time.perf_counter() - started < 5, pattern
