@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 
 from eventrail.llm import simhash
 from eventrail.llm.common import components, discard, release, ships_with_tasks, staged
+from eventrail.llm.simhash import fingerprint
 from eventrail.session import scratch_path
 
 ships_with_tasks(__name__)
@@ -202,7 +203,7 @@ def near_duplicates(
 
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([simhash.fingerprint(t, WORDS) for t in texts], np.uint64).view(np.int64))
+        return pd.Series(np.array([fingerprint(t, WORDS) for t in texts], np.uint64).view(np.int64))
 
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     looked = staged(

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from eventrail.llm import shingles
+from eventrail.llm import shingles, simhash
 from eventrail.llm.common import table
 from tests.llm.frames import awkward, rows_of
 from tests.llm.test_brute_force import plain_components
@@ -70,3 +70,10 @@ def test_families_around_the_threshold(spark):
         docs.append((9000 + n, " ".join(f"chain{x}" for x in range(2 * n, 2 * n + 60))))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert rows_of(shingles.near_duplicates(df, block=4), "doc_id", "component_id") == want(docs)
+
+
+def test_tasks_take_no_module_along(spark):
+    """The module of fingerprints holds a function that, once used, is tied to the session."""
+    docs = spark.createDataFrame([(1, "one two three"), (2, "one two three"), (3, None)], "doc_id long, text string")
+    assert simhash.near_duplicates(docs).count() == 3
+    assert rows_of(shingles.near_duplicates(docs), "doc_id", "component_id") == [(1, 1), (2, 1), (3, 3)]
