@@ -240,15 +240,17 @@ def _frequent_pairs(symbols: np.ndarray, least: int, turn: int) -> tuple[np.ndar
     code = symbols[:-1].astype(np.uint64)
     code <<= np.uint64(32)
     code |= symbols[1:]
-    slot = ((code * (_HASH + np.uint64(2 * turn))) >> np.uint64(64 - _SPREAD)).astype(np.int32)
-    at = np.flatnonzero((np.bincount(slot, minlength=1 << _SPREAD) >= least)[slot])
-    code, slot = code[at], slot[at]
+    slot = code * (_HASH + np.uint64(2 * turn))
+    slot >>= np.uint64(64 - _SPREAD)
+    slot = slot.view(np.int64)  # as indexes are, so that nothing converts them
+    at = np.flatnonzero((np.bincount(slot, minlength=1 << _SPREAD) >= least).take(slot))
+    code, slot = code.take(at), slot.take(at)
     pair = np.zeros(1 << _SPREAD, np.uint64)
     pair[slot] = code
-    mine = pair[slot] == code
+    mine = pair.take(slot) == code
     at, slot = at[mine], slot[mine]
     counts = np.bincount(slot, minlength=1 << _SPREAD)
-    often = counts[slot] >= least
+    often = counts.take(slot) >= least
     return at[often], slot[often], counts, pair
 
 
@@ -274,9 +276,9 @@ def _round(symbols: np.ndarray, made: int, frequent: int, turn: int) -> tuple[np
     """New rules, of the symbols from ``made`` on, and the sequence with them applied."""
     at, slot, counts, pair = _frequent_pairs(symbols, frequent, turn)
     weight = np.zeros(len(symbols) + 2, np.int64)
-    own = 2 * counts[slot] + (at & 1)  # runs of one symbol: every second pair
+    own = 2 * counts.take(slot) + (at & 1)  # runs of one symbol: every second pair
     weight[at + 1] = own
-    chosen = (own > weight[at]) & (own > weight[at + 2])
+    chosen = (own > weight.take(at)) & (own > weight.take(at + 2))
     at, slot = at[chosen], slot[chosen]
     worth = np.bincount(slot, minlength=len(counts)) * 2 >= frequent
     chosen = worth[slot]
