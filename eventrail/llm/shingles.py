@@ -1,17 +1,19 @@
 """Near-duplicates by verified similarity of word shingles.
 
-Candidates come in groups: documents whose SimHash fingerprints the BK-trees link, and, because
-fingerprints do not see every similar pair, those that share one of their rarest shingles, which
-similar sets must. Sets that are alone by a first look at a third of their shingles never
-get so far. Within a group nothing is compared pair by pair: all are held against a few pivots, and
-since distances of sets obey the triangle inequality, what lies near a pivot needs no other one, and only
-documents of different groups, at a fitting distance from a pivot, are held against one another.
+Sets that are alone by a first look at a third of their shingles never get far. The others meet in
+groups by their rarest shingles, of which similar sets must share one. In a group, sketches of the
+sets rule out what cannot be similar: bits that count members, modulo 2, differ in no more places
+than the sets have members apart. What sketches let through is compared in full, in two rounds. The
+first takes one candidate for each member, also among documents whose SimHash fingerprints the
+BK-trees link, so that a group of near copies becomes one component. The second takes every candidate
+that lies in two components, from the groups that still have more than one.
 Nothing is left to chance but equal 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -21,18 +23,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventrail.llm import simhash
-from eventrail.llm.common import components, discard, release, ships_with_tasks, staged
+from eventrail.llm.common import components, discard, release, ships_with_tasks, staged, whole_groups
 from eventrail.llm.simhash import fingerprint
-from eventrail.session import scratch_path
 
 ships_with_tasks(__name__)
 
 WORDS = 5
 SEED = 42
-#: Members of a group that one task compares with a pivot, and the most pivots of a group in a round.
-BLOCK = 512
-PIVOTS = 64
-COMPARED = "pivot long, cls long, near boolean, distance double"
+#: Sets that one task compares with one set, and members of a group among which one looks for candidates.
+BLOCK = 64
+CELL = 512
+#: Bits of a sketch.
+BITS = 1024
+#: Rows that a reader decodes at once: sets and texts of thousands of rows would be one huge array each.
+READ_ROWS = 256
+PAIRS = "pivot long, cls long"
+#: Pairs that a task gathers before it passes them on.
+HELD = 1 << 20
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -71,7 +78,7 @@ def _members(sets: DataFrame) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, block: int) -> DataFrame:
-    """(pivot, cls, near, distance) of ``pairs(pivot, cls)``; the pivot's set comes first in its cell."""
+    """(pivot, cls, near) of ``pairs(pivot, cls)``; the pivot's set comes first in its cell."""
     cells = F.ceil(F.count("*") / F.lit(block)).cast("int")
     sizes = pairs.groupBy("pivot").agg(cells.alias("cells"))
     asked = pairs.join(sizes, "pivot").select(
@@ -93,81 +100,142 @@ def _compared(pairs: DataFrame, sets: DataFrame, block: int) -> DataFrame:
                     pivot = other
                     continue
                 both = len(np.intersect1d(pivot, other, assume_unique=True))
-                union = len(pivot) + len(other) - both
-                out.append((row.pivot, row.cls, 5 * both >= 4 * union, 1 - both / max(union, 1)))
-            yield pd.DataFrame(out, columns=["pivot", "cls", "near", "distance"])
+                out.append((row.pivot, row.cls, 5 * both >= 4 * (len(pivot) + len(other) - both)))
+            yield pd.DataFrame(out, columns=["pivot", "cls", "near"])
 
     dealt = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.desc("first"))
-    return dealt.mapInPandas(compare, COMPARED)
+    return dealt.mapInPandas(compare, f"{PAIRS}, near boolean")
 
 
-def _linked(groups: DataFrame, sets: DataFrame, label: str, block: int) -> DataFrame:
-    """(node, component) of the sets that are similar to another of one of their ``groups(b, cls, n)``.
+def _sketch(found: np.ndarray) -> bytes:
+    """For each of ``BITS`` bits, whether the set has an odd number of members there."""
+    return np.packbits((np.bincount(found & (BITS - 1), minlength=BITS) & 1).astype(bool)).tobytes()
 
-    Each round takes pivots from the members that are near none yet, eight times as many as before, and
-    holds all members against them. Members are near a pivot at a distance of a fifth; a set similar
-    to one of these lies within two fifths of the pivot. So once all are near a pivot, what is left
-    is such a set in another component; its distance may differ from the near one's by a fifth.
+
+def _may_link(n: np.ndarray, sketch: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """False where rows x and y are too far apart: nine times what they differ in exceeds both sizes."""
+    fits = 5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])
+    at = np.flatnonzero(fits)
+    for lo in range(0, len(at), 1 << 16):
+        part = at[lo : lo + (1 << 16)]
+        apart = np.bitwise_count(sketch[x[part]] ^ sketch[y[part]]).sum(axis=1, dtype=np.int64)
+        fits[part] = 9 * apart <= n[x[part]] + n[y[part]]
+    return fits
+
+
+def _firsts(frame: pd.DataFrame, bounds: np.ndarray, near: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows x, y: the first of each group takes all that may be near it, then the first of what is left."""
+    group, left = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), np.arange(len(frame))
+    while len(left):
+        _, starts, many = np.unique(group[left], return_index=True, return_counts=True)
+        first = np.repeat(left[starts], many)
+        taken = near(first, left)
+        others = taken & (first != left)
+        yield first[others], left[others]
+        left = left[~taken]
+
+
+def _across(frame: pd.DataFrame, bounds: np.ndarray, near: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows x, y of different components that may be near; in cells of kind 0 one of them is main."""
+    component, main = frame["component"].to_numpy(np.int64), frame["main"].to_numpy(bool)
+    among = frame["kind"].to_numpy(np.int64) == 1
+    end, left, step = np.repeat(bounds[1:], np.diff(bounds)), np.arange(len(frame)), 1
+    while len(left := left[left + step < end[left]]):
+        y = left + step
+        asked = (component[left] != component[y]) & (among[left] | main[left] | main[y])
+        x, y = left[asked], y[asked]
+        taken = near(x, y)
+        yield x[taken], y[taken]
+        step += 1
+
+
+def _candidates(rows: DataFrame, sets: DataFrame, place: list[str], choose: Callable) -> DataFrame:
+    """Distinct (pivot, cls) that ``choose`` takes from the cells of ``rows(*place, cls, n)``.
+
+    Pivots come first in the order in which ``components`` hooks.
     """
-    spark = sets.sparkSession
-    opened, every, turn = groups, None, 0
-    path = scratch_path(spark, label)
-    while not opened.isEmpty():
-        slot = F.pmod(F.xxhash64("cls"), F.lit(min(PIVOTS, 8**turn)))
-        chosen = opened.groupBy("b", slot.alias("slot")).agg(
-            F.min(F.struct(F.xxhash64("cls").alias("order"), F.col("cls"), F.col("n"))).alias("p")
-        )
-        pivots = staged(chosen.select("b", F.col("p.cls").alias("pivot"), F.col("p.n").alias("size")), label)
-        # Sets of sizes further apart than this are over two fifths apart.
-        fits = (F.col("cls") != F.col("pivot")) & (F.least("n", "size") * 5 >= F.greatest("n", "size") * 3)
-        pairs = groups.join(pivots, "b").where(fits).select("pivot", "cls").distinct()
-        if every is not None:
-            pairs = pairs.join(every.select("pivot", "cls"), ["pivot", "cls"], "left_anti")
-        # All rounds are one table, so that plans do not grow with them.
-        pairs = staged(pairs, label)
-        _compared(pairs, sets, block).write.mode("append").parquet(path)
-        every = spark.read.schema(COMPARED).parquet(path)
-        # A pivot is near itself.
-        met = pivots.select("b", F.col("pivot").alias("cls")).unionAll(
-            pivots.join(every.where("near").select("pivot", "cls"), "pivot").select("b", "cls")
-        )
-        opened = staged(opened.join(met.distinct(), ["b", "cls"], "left_anti"), label)
-        discard(pairs, pivots)
-        release(spark)
-        turn += 1
-    if every is None:
-        return components(sets.select(F.col("cls").alias("a"), F.col("cls").alias("b")), label)
-    links = every.where("near").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
-    known = staged(components(links, label), label)
-    # Pairs of different components, one near a pivot and one within two fifths of it.
-    own = sets.select("cls", "n").join(known, F.col("cls") == F.col("node"), "left").select(
-        "cls", "n", F.coalesce("component", "cls").alias("component")
+    ordered = rows.withColumn("order", F.xxhash64("cls")).join(sets.select("cls", "sketch"), "cls")
+    dealt = ordered.repartition(*place).sortWithinPartitions(*place, "order", "cls")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, bounds in whole_groups(batches, place):  # a cell is a few blocks at most
+            n, cls = frame["n"].to_numpy(np.int64), frame["cls"].to_numpy(np.int64)
+            sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1)
+            found, held = [np.zeros((0, 2), np.int64)], 0
+            for x, y in choose(frame, bounds, partial(_may_link, n, sketch)):
+                found.append(np.stack([cls[x], cls[y]], axis=1))
+                held += len(x)
+                if held > HELD:
+                    yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["pivot", "cls"])
+                    found, held = found[:1], 0
+            yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["pivot", "cls"])
+
+    return dealt.mapInPandas(search, PAIRS).distinct()
+
+
+def _crossing(groups: DataFrame, own: DataFrame, cell: int) -> DataFrame:
+    """Rows of the groups that have several components, dealt so that pairs of these share a cell.
+
+    The members of the largest component of a group need not meet one another: each of their blocks
+    meets the blocks of the rest (kind 0), and these meet among themselves (kind 1).
+    """
+    members = groups.join(own, "cls")
+    by = members.groupBy("b", "component").agg(F.count("*").alias("rows"))
+    most = F.max(F.struct("rows", "component")).alias("most")
+    sizes = by.groupBy("b").agg(F.count("*").alias("parts"), F.sum("rows").alias("rows"), most).where("parts > 1")
+    # Blocks grow with the group, so that its rows are not copied too often.
+    block = F.least(F.greatest(F.col("rows") / 16, F.lit(cell / 2)), F.lit(cell * 4.0))
+    sizes = sizes.select(
+        "b", F.col("most.component").alias("largest"), (F.col("rows") - F.col("most.rows")).alias("others"),
+        F.ceil(F.col("most.rows") / block).cast("int").alias("blocks"),
+        F.ceil((F.col("rows") - F.col("most.rows")) / block).cast("int").alias("rest"),
     )
-    around = every.where("distance <= 0.4000001").join(own, "cls")
-    centres = every.select("pivot").distinct().join(own, F.col("pivot") == F.col("cls"))
-    inner = around.where("near").unionByName(
-        centres.select("cls", "pivot", F.lit(True).alias("near"), F.lit(0.0).alias("distance"), "n", "component")
+    dealt = members.join(sizes, "b").withColumn("main", F.col("component") == F.col("largest"))
+    mine = F.pmod(F.xxhash64("cls", "b"), F.when(F.col("main"), F.col("blocks")).otherwise(F.col("rest"))).cast("int")
+    dealt = dealt.withColumn("mine", mine)
+
+    def cells(kind, count, one, other):
+        return F.transform(
+            F.sequence(F.lit(0), F.col(count) - 1),
+            lambda at: F.struct(F.lit(kind).alias("kind"), one(at).alias("x"), other(at).alias("y")),
+        )
+
+    own_block = F.col("mine")
+    against = cells(0, "rest", lambda at: at, lambda at: own_block)
+    asking = cells(0, "blocks", lambda at: own_block, lambda at: at)
+    among = cells(1, "rest", lambda at: F.least(at, own_block), lambda at: F.greatest(at, own_block))
+    where = F.when(F.col("main"), against).when(F.col("others") > 1, F.concat(asking, among)).otherwise(asking)
+    return dealt.select("b", "cls", "n", "component", "main", F.explode(where).alias("at")).select(
+        "b", "at.*", "cls", "n", "component", "main"
     )
-    inner = inner.select("pivot", *[F.col(c).alias(f"{c}_1") for c in ("cls", "n", "component", "distance")])
-    close = (
-        (F.col("component") != F.col("component_1"))
-        & (F.abs(F.col("distance") - F.col("distance_1")) <= 0.2 + 1e-9)
-        & (F.least("n", "n_1") * 5 >= F.greatest("n", "n_1") * 4)
+
+
+def _linked(rare: DataFrame, alike: DataFrame, sets: DataFrame, label: str, block: int, cell: int) -> DataFrame:
+    """(node, component) of the sets that are similar to another; groups are (b, cls, n, rows).
+
+    Similar sets share a group of ``rare``; those of ``alike`` only help to find links early.
+    """
+    salt = F.pmod(F.xxhash64("cls", "b"), F.ceil(F.col("rows") / F.lit(cell))).cast("int")
+    grouped = rare.unionByName(alike).select("b", salt.alias("salt"), "cls", "n")
+    pairs = staged(_candidates(grouped, sets, ["b", "salt"], _firsts), label)
+    met = staged(_compared(pairs, sets, block), label)
+    discard(pairs)
+    release(sets.sparkSession)
+    known = components(met.where("near").select(F.col("pivot").alias("a"), F.col("cls").alias("b")), label)
+    own = staged(
+        sets.select("cls").join(known, F.col("cls") == F.col("node"), "left").select(
+            "cls", F.coalesce("component", "cls").alias("component")
+        ),
+        label,
     )
-    outer = around.where(~F.col("near")).join(inner, "pivot").where(close)
-    left = outer.select(F.col("cls_1").alias("pivot"), "cls").distinct()
-    left = staged(left, label)
-    if left.isEmpty():
-        return known
+    crossing = _candidates(_crossing(rare.drop("rows"), own, cell), sets, ["b", "kind", "x", "y"], _across)
+    left = staged(crossing.join(met.select("pivot", "cls"), ["pivot", "cls"], "left_anti"), label)
     late = _compared(left, sets, block).where("near").select("pivot", "cls")
     for side in ("pivot", "cls"):
         at = own.select(F.col("cls").alias("node"), "component")
         late = late.join(at, F.col(side) == F.col("node")).select(
             *[F.col("component").alias(c) if c == side else F.col(c) for c in ("pivot", "cls")]
         )
-    late = staged(late.distinct(), label)
-    if late.isEmpty():
-        return known
     # These links join whole components, and sets that are alone so far.
     moved = components(late.select(F.col("pivot").alias("a"), F.col("cls").alias("b")), label).select(
         F.col("node").alias("at"), F.col("component").alias("into")
@@ -177,7 +245,7 @@ def _linked(groups: DataFrame, sets: DataFrame, label: str, block: int) -> DataF
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", label: str = "shingles", block: int = BLOCK
+    docs: DataFrame, key: str = "doc_id", label: str = "shingles", block: int = BLOCK, cell: int = CELL
 ) -> DataFrame:
     """(key, component_id) per row of ``docs(key, text)``; component_id is the smallest key.
 
@@ -193,18 +261,19 @@ def near_duplicates(
             rows.append((_identity(found), len(found), found[: _first(len(found))].tobytes()))
         return pd.DataFrame(rows, columns=["cls", "n", "early"])
 
-    @F.pandas_udf("cls long, data binary")
+    @F.pandas_udf("cls long, data binary, sketch binary")
     def pack(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             found = shingles(text)
-            rows.append((_identity(found), found.tobytes()))
-        return pd.DataFrame(rows, columns=["cls", "data"])
+            rows.append((_identity(found), found.tobytes(), _sketch(found)))
+        return pd.DataFrame(rows, columns=["cls", "data", "sketch"])
 
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, WORDS) for t in texts], np.uint64).view(np.int64))
 
+    docs.sparkSession.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     looked = staged(
         docs.select(key, text_hash.alias("text_hash"), look("text").alias("set")).select(key, "text_hash", "set.*"),
@@ -225,7 +294,8 @@ def near_duplicates(
     # One text of each set that is left is cut into shingles again.
     texts = docs.select("text", text_hash.alias("text_hash")).join(left, "text_hash").dropDuplicates(["cls"])
     packed = texts.select("cls", "n", pack("text").alias("set"), prints("text").alias("code"))
-    sets = staged(packed.where("cls = set.cls").select("cls", "n", "set.data", "code"), label)
+    sets = staged(packed.where("cls = set.cls").select("cls", "n", "set.data", "set.sketch", "code"), label)
+    release(docs.sparkSession)
     members = _members(sets)
     counted = members.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1")
     common = members.join(counted, "h").join(sets.select("cls", "n"), "cls")
@@ -240,12 +310,13 @@ def near_duplicates(
     alike = sets.join(trees, F.col("code") == F.col("node"), "left").select(
         F.xxhash64(F.lit("trees"), F.coalesce("component", "code")).alias("b"), "cls", "n"
     )
-    groups = staged(rare.unionByName(alike), label)
-    many = groups.groupBy("b").agg(F.count("*").alias("rows")).where("rows > 1").select("b")
+    groups = staged(rare.withColumn("rare", F.lit(True)).unionByName(alike.withColumn("rare", F.lit(False))), label)
+    many = groups.groupBy("b").agg(F.count("*").alias("rows")).where("rows > 1")
     shared_groups = staged(groups.join(many, "b"), label)
     discard(groups)
     release(docs.sparkSession)
-    linked = _linked(shared_groups, sets, label, block)
+    rare, alike = (shared_groups.where(F.col("rare") == kind).drop("rare") for kind in (True, False))
+    linked = _linked(rare, alike, sets, label, block, cell)
     firsts = coded.groupBy("cls").agg(F.min(key).alias("first"))
     named = firsts.join(linked, F.col("cls") == F.col("node"), "left").select(
         "cls", "first", F.coalesce("component", "cls").alias("group")

@@ -72,6 +72,39 @@ def test_families_around_the_threshold(spark):
     assert rows_of(shingles.near_duplicates(df, block=4), "doc_id", "component_id") == want(docs)
 
 
+def passages(count):
+    """Texts that are mostly one passage, none similar to another, and near copies of every tenth."""
+    passage = [f"p{x}" for x in range(40)]
+    docs = [(n, " ".join([f"own{n}", f"more{n}", *passage, f"last{n}"])) for n in range(count)]
+    docs += [(10_000 + n, f"{text} again") for n, text in docs if n % 10 == 0]
+    return docs + [(20_000 + n, " ".join(f"chain{x}" for x in range(2 * n, 2 * n + 60))) for n in range(count // 4)]
+
+
+def test_few_pairs_of_a_group_are_compared(spark, monkeypatch):
+    """Sketches tell the members of a large group apart, so that whole sets seldom meet."""
+    docs, compared, pairs = passages(120), shingles._compared, []
+
+    def counted(found, *rest):
+        pairs.append(found.count())
+        return compared(found, *rest)
+
+    monkeypatch.setattr(shingles, "_compared", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows_of(shingles.near_duplicates(df), "doc_id", "component_id") == want(docs)
+    assert 0 < sum(pairs) < 2 * len(docs)
+
+
+def test_groups_in_many_cells(spark):
+    """Blocks of the largest component, of the rest, and cells that hold one row."""
+    docs = passages(60)
+    crowd = [f"c{x}" for x in range(150)]
+    docs += [(30_000 + n, " ".join([*crowd[:n], f"x{n % 9}", *crowd[n:]])) for n in range(40)]
+    docs += [(40_000 + n, " ".join([*crowd[: 140 - 2 * n], *(f"y{n} {x}" for x in range(n))])) for n in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for cell in (2, 6):
+        assert rows_of(shingles.near_duplicates(df, block=4, cell=cell), "doc_id", "component_id") == want(docs)
+
+
 def test_tasks_take_no_module_along(spark):
     """The module of fingerprints holds a function that, once used, is tied to the session."""
     docs = spark.createDataFrame([(1, "one two three"), (2, "one two three"), (3, None)], "doc_id long, text string")
