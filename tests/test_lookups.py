@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from eventrail.operators import lookups
 from eventrail.operators.config import missing_default_bindings, project_scripts
 from eventrail.operators.lookups import fits_broadcast, lookup_join, measured_bytes
 from eventrail.operators.metrics import node_status
@@ -19,6 +20,26 @@ def test_both_ways_of_joining_agree(spark):
         assert sorted(plain.select("k", "id", "v").collect()) == rows
 
 
+def test_only_hot_keys_of_a_large_lookup_are_repeated(spark, monkeypatch):
+    monkeypatch.setattr(lookups, "HOT_ROWS", 500)
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id") % 50)
+    facts = spark.range(3000).select(key.alias("k"), "id")
+    table = spark.range(40).unionByName(spark.range(7, 9))
+    table = table.select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v"))
+    salted, repeated = lookups._spread_hot(facts, table, ["k"], [F.col("id")])
+    assert repeated.count() == 42 + 2 * (lookups.SALTS - 1)
+    # Records of the hot key and those without a key lie on all salts, the others on one.
+    salts = {r["k"]: r["n"] for r in salted.groupBy("k").agg(F.countDistinct("__salt").alias("n")).collect()}
+    assert {k for k, n in salts.items() if n == lookups.SALTS} == {7, None}
+    assert {n for k, n in salts.items() if k not in (7, None)} == {1}
+    for how in ("left", "inner"):
+        found = lookup_join(facts, table, ["k"], how, spread=[F.col("id")], limit=0)
+        wanted = facts.join(table, ["k"], how)
+        assert found.columns == wanted.columns
+        order = ["id", "v"]
+        assert found.orderBy(*order).collect() == wanted.orderBy(*order).collect()
+
+
 def test_size_is_checked(spark):
     table = spark.range(1000).withColumn("t", F.lit("x" * 100))
     assert 100_000 < measured_bytes(table) < 200_000
